@@ -29,3 +29,6 @@ MAX_VOCABULARY = 100_000
 #: A term list travels inside the plan only up to these sizes; larger lists are joined.
 INLINE_TERMS = 2_000
 INLINE_BYTES = 256 * 1024
+
+#: A table is copied to every executor only if it was measured to be at most this large.
+BROADCAST_BYTES = 64 * 1024 * 1024

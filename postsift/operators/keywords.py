@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift.defaults import ANTI_LABEL, PRO_LABEL
 from postsift.functions.matching import any_match, matched_terms
+from postsift.functions.text import let
 
 from .term_join import pairs_by_words
 from .terms import Terms, inline_terms, slices
@@ -226,10 +227,28 @@ def stance_overlap(
 
     ``pro`` and ``anti`` are the numbers of keywords found.
     """
-    both = with_match_count(df, pro, "pro", text, match, fold_keyword)
-    both = with_match_count(both, anti, "anti", text, match, fold_keyword)
-    in_pro, in_anti = F.col("pro") > 0, F.col("anti") > 0
-    return both.where(in_pro | in_anti).withColumn("overlap", in_pro & in_anti)
+    numbers = []
+    for name, terms in (("pro", pro), ("anti", anti)):
+        listed = inline_terms(terms)
+        if listed is None:
+            raise ValueError("the list is too large to count per row, use stance_pairs")
+        found = matched_terms(F.col(text), listed, match, fold_keyword)
+        numbers.append(F.coalesce(F.size(found), F.lit(0)).alias(name))
+    # A list of one entry or none keeps the search from being repeated in a filter.
+    marked = let(
+        F.struct(*numbers),
+        lambda n: F.when(
+            (n["pro"] > 0) | (n["anti"] > 0),
+            F.array(
+                F.struct(
+                    n["pro"].alias("pro"),
+                    n["anti"].alias("anti"),
+                    ((n["pro"] > 0) & (n["anti"] > 0)).alias("overlap"),
+                )
+            ),
+        ),
+    )
+    return df.select("*", F.inline(marked))
 
 
 def rank_users(
@@ -242,18 +261,10 @@ def rank_users(
     fold_keyword: bool = True,
 ) -> DataFrame:
     """``username, count``: users by their matches, most first, ties by name."""
-    terms = inline_terms(keywords)
-    if terms is None:
-        hits = censor(df, keywords, "anti", count, text, match, fold_keyword).matches
-        counts = hits.groupBy(user).agg(F.count("*").alias("count"))
-    elif count == "tweets":
-        hit = any_match(F.col(text), terms, match, fold_keyword)
-        counts = df.where(hit).groupBy(user).agg(F.count("*").alias("count"))
+    narrow = df.select(user, text)
+    if count == "pairs":
+        hits = keyword_pairs(narrow, keywords, text, match, fold_keyword)
     else:
-        counted = with_match_count(df, terms, "__n", text, match, fold_keyword)
-        counts = (
-            counted.where(F.col("__n") > 0)
-            .groupBy(user)
-            .agg(F.sum(F.col("__n").cast("bigint")).alias("count"))
-        )
+        hits = matched_posts(narrow, keywords, text, match, fold_keyword)
+    counts = hits.groupBy(user).agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc(user))

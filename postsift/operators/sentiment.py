@@ -35,18 +35,16 @@ def _inline_ratings(lexicon: DataFrame) -> dict[int, list[str]] | None:
     """Words by rating, or None when the list is too large or rates a word twice."""
     rated = lexicon.where(F.col("word").isNotNull() & F.col("rating").isNotNull())
     size = rated.agg(
-        F.count("*").alias("rows"),
-        F.countDistinct("word").alias("words"),
-        F.countDistinct("rating").alias("ratings"),
-        F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest"),
+        F.count("*").alias("rows"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")
     ).first()
-    if size["rows"] > INLINE_WORDS or size["longest"] > 200 or size["ratings"] > 50:
-        return None
-    if size["rows"] != size["words"]:
+    if size["rows"] > INLINE_WORDS or size["longest"] > 200:
         return None
+    rows = rated.collect()
     by_rating: dict[int, list[str]] = {}
-    for row in rated.collect():
+    for row in rows:
         by_rating.setdefault(row["rating"], []).append(row["word"])
+    if len(by_rating) > 50 or len({row["word"] for row in rows}) < len(rows):
+        return None
     return {rating: sorted(words) for rating, words in sorted(by_rating.items())}
 
 
@@ -201,9 +199,9 @@ def brand_sentiment(
     With ``zero_fill`` every brand has a row for each sentiment: the combinations are added
     as rows that count nothing, which needs no outer join.
     """
-    scored = df.select(text, rule_sentiment(F.col(text), positive, negative, match).alias("sentiment"))
-    mentions = keyword_pairs(scored, brands, text, keyword="restaurant")
-    ones = mentions.select("restaurant", "sentiment", F.lit(1).cast("bigint").alias("n"))
+    mentions = keyword_pairs(df.select(text), brands, text, keyword="restaurant")
+    mood = rule_sentiment(F.col(text), positive, negative, match).alias("sentiment")
+    ones = mentions.select("restaurant", mood, F.lit(1).cast("bigint").alias("n"))
     if zero_fill:
         ones = ones.unionByName(_combinations(df, brands))
     counts = ones.groupBy("restaurant", "sentiment").agg(F.sum("n").alias("count"))

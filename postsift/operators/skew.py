@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postsift.storage import fits_in_memory
+
 #: Rows of one key go to this many partitions, the other side is copied to each.
 SALTS = 8
 
@@ -16,3 +18,16 @@ def salt_of(*columns: Column) -> Column:
 
 def every_salt() -> Column:
     return F.explode(F.array(*[F.lit(salt).cast("bigint") for salt in range(SALTS)]))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join where a key of ``left`` may have any number of rows.
+
+    A ``right`` side measured to be small is copied, so that ``left`` stays where it is.
+    Otherwise the rows of one key are spread by their value of ``by``.
+    """
+    if fits_in_memory(right):
+        return left.join(F.broadcast(right), on)
+    salted = left.withColumn("__salt", salt_of(F.col(by)))
+    copied = right.select("*", every_salt().alias("__salt"))
+    return salted.join(copied, [on, "__salt"]).drop("__salt")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.functions.matching import needle, searchable
+from postsift.storage import written
 
-from .skew import every_salt, salt_of
+from .skew import every_salt, salt_of, spread_join
 from .terms import as_column
 
 #: Length of the start of a piece that serves as join key.
@@ -71,25 +72,19 @@ def pairs_by_words(
         "__key",
         F.explode(F.array_distinct(F.split(searchable(F.col(text), match), " "))).alias("word"),
     ).where(F.col("word") != "")
-    # Copies of a text send its words on once per task, then once overall.
-    words = words.distinct()
-
-    vocabulary = (
+    grams = (
         words.select("word")
         .distinct()
         .select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     )
     pieces = needles.where(F.col("piece") != "").select("piece").distinct()
     pieces = pieces.withColumn("gram", F.substring("piece", 1, GRAM))
-    touched = (
-        vocabulary.join(pieces, "gram")
-        .where(F.contains("word", "piece"))
-        .select("word", "piece")
+    touched = written(
+        grams.join(pieces, "gram").where(F.contains("word", "piece")).select("word", "piece")
     )
 
-    candidates = (
-        words.join(touched, "word").select("__key", "piece").distinct().join(needles, "piece")
-    )
+    candidates = spread_join(words, touched, "word", "__key").select("__key", "piece").distinct()
+    candidates = spread_join(candidates, needles, "piece", "__key")
     # Blank terms touch no word; there is one of them per length at most.
     blank = needles.where(F.col("piece") == "").select("term", "needle", "copies")
     columns = [F.col(name) for name in df.columns]

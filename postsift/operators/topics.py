@@ -8,9 +8,9 @@ from math import ceil, sqrt
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.defaults import (
@@ -34,14 +34,14 @@ def sample_rows(df: DataFrame, size: int, id: str = "id") -> DataFrame:
     in the scan by a threshold that leaves a little over ``size`` rows to sort.
     """
     rows = df.count()
-    order = F.pmod(F.xxhash64(id), F.lit(_HASH_RANGE))
-    ranked = df.withColumn("__order", order)
-    if rows > size:
-        share = (size + 6 * sqrt(size) + 36) / rows
-        near = ranked.where(F.col("__order") < int(min(share, 1.0) * _HASH_RANGE))
-        # The threshold misses about once in a thousand million times.
-        if share < 1.0 and near.limit(size).count() == size:
-            ranked = near
+    if rows <= size:
+        return df
+    ranked = df.withColumn("__order", F.pmod(F.xxhash64(id), F.lit(_HASH_RANGE)))
+    share = (size + 6 * sqrt(size) + 36) / rows
+    near = ranked.where(F.col("__order") < int(min(share, 1.0) * _HASH_RANGE))
+    # The threshold leaves too few rows about once in a thousand million times.
+    if share < 1.0 and near.limit(size).count() == size:
+        ranked = near
     return ranked.orderBy("__order", id).limit(size).drop("__order")
 
 
@@ -72,12 +72,32 @@ def vocabulary(
 
 
 def bag_of_words(docs: DataFrame, id: str = "id", tokens: str = "tokens") -> DataFrame:
-    """``id, term, count``, one row per text and different word."""
-    return (
-        docs.select(id, F.explode(tokens).alias("term"))
-        .groupBy(id, "term")
-        .agg(F.count("*").alias("count"))
-    )
+    """``id, term, count``, one row per text and different word.
+
+    Words are sorted inside their row and counted by the distance between the places where
+    the word changes, so nothing is shuffled.
+    """
+    def runs(words: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(words)),
+            lambda at: (at == 1) | (F.get(words, at - 1) != F.get(words, at - 2)),
+        )
+        return let(
+            starts,
+            lambda first: F.transform(
+                first,
+                lambda at, index: F.struct(
+                    F.get(words, at - 1).alias("term"),
+                    (F.coalesce(F.get(first, index + 1), F.size(words) + 1) - at)
+                    .cast("bigint")
+                    .alias("count"),
+                ),
+            ),
+        )
+
+    sorted_words = F.array_sort(F.col(tokens))
+    counted = let(sorted_words, lambda words: F.when(F.size(words) > 0, runs(words)))
+    return docs.select(id, F.inline(counted))
 
 
 def fit_topics(
@@ -103,13 +123,14 @@ def fit_topics(
     """
     docs = tokenized(df, text, stop)
     known = docs if sample is None else sample_rows(docs.select(id, "tokens"), sample, id)
-    counter = CountVectorizer(
-        inputCol="tokens",
-        outputCol="bag",
-        minDF=float(min_docs),
-        maxDF=float(max_share),
-        vocabSize=max_vocabulary,
-    ).fit(known)
+    terms = vocabulary(known, "tokens", min_docs, max_share)
+    # The model holds its words anyway. In a fixed order two fits start alike.
+    kept = terms.orderBy(F.desc("docs"), F.asc("term")).limit(max_vocabulary).collect()
+    if not kept:
+        raise ValueError("no word is found in enough texts and in few enough")
+    counter = CountVectorizerModel.from_vocabulary(
+        [row["term"] for row in kept], inputCol="tokens", outputCol="bag"
+    )
     bags = counter.transform(docs.select("tokens")).select("bag")
     bags = bags.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -154,6 +175,7 @@ def assign_topics(
     """
     counter, lda = _stages(model)
     scored = lda.transform(counter.transform(tokenized(df, text, stop)))
+    prior = list(lda.estimatedDocConcentration().toArray())
     dominant = let(
         vector_to_array("topics"),
         lambda shares: F.when(
@@ -161,11 +183,12 @@ def assign_topics(
             F.array_position(shares, F.array_max(shares)).cast("int") - 1,
         ),
     )
-    result = scored.select(*[F.col(name) for name in df.columns], dominant.alias("topic_id"))
-    if drop_empty:
-        return result.where(F.col("topic_id").isNotNull())
-    prior = list(lda.estimatedDocConcentration().toArray())
-    return result.fillna({"topic_id": prior.index(max(prior))})
+    columns = [F.col(name) for name in df.columns]
+    if not drop_empty:
+        filled = F.coalesce(dominant, F.lit(prior.index(max(prior))))
+        return scored.select(*columns, filled.alias("topic_id"))
+    # Not a filter: that would be moved below this and infer every topic a second time.
+    return scored.select(*columns, F.explode(F.array_compact(F.array(dominant))).alias("topic_id"))
 
 
 def _labels(model: PipelineModel, words: int) -> list[str]:

@@ -12,8 +12,9 @@ from postsift.functions import clean_tokens, one_line, state_of, tokens
 from postsift.operators import brands, keywords, names, places, sentiment, topics
 from postsift.operators.term_join import pairs_by_words
 from postsift.schemas import POST_COLUMNS
+from postsift.storage import fresh_folder
 
-from .tables import fresh_folder, nested, posts, table
+from .tables import nested, posts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +45,3 @@ def nested(flat: DataFrame) -> DataFrame:
         F.struct("username", "location").alias("user"),
         F.struct("country", "fullName").alias("place"),
     )
-
-
-def fresh_folder(spark: SparkSession) -> str:
-    """A new folder all executors see: below ``spark.checkpoint.dir`` where that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="postsift-")
-    return f"{shared.rstrip('/')}/postsift-{uuid.uuid4().hex}"
