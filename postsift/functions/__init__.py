@@ -8,6 +8,7 @@ from .text import (
     stop_words,
     stripped,
     tokens,
+    word_counts,
 )
 
 __all__ = [
@@ -22,4 +23,5 @@ __all__ = [
     "stop_words",
     "stripped",
     "tokens",
+    "word_counts",
 ]

@@ -6,6 +6,7 @@ row only ever grows to the terms it really holds.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -18,6 +19,15 @@ from .text import let, one_line
 MATCHES = ("contains", "like", "regex", "spaced", "word")
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
+_NO_WORDS = "  "
+
+#: Up to this many patterns are compiled once per task, more once per text.
+CONSTANT_PATTERNS = 64
+
+
+def _words_only(text: Column) -> Column:
+    words = F.trim(F.regexp_replace(text, _NOT_WORD, " "))
+    return F.concat(F.lit(" "), words, F.lit(" "))
 
 
 def searchable(text: Column, match: str) -> Column:
@@ -28,7 +38,7 @@ def searchable(text: Column, match: str) -> Column:
     if match == "spaced":
         return one_line(lowered)
     if match == "word":
-        return F.concat(F.lit(" "), F.regexp_replace(lowered, _NOT_WORD, " "), F.lit(" "))
+        return _words_only(lowered)
     if match in ("contains", "like"):
         return lowered
     raise ValueError(f"unknown match: {match}")
@@ -42,37 +52,70 @@ def needle(term: Column, match: str, fold_keyword: bool) -> Column:
     if match == "spaced":
         return F.concat(F.lit(" "), folded, F.lit(" "))
     if match == "word":
-        return F.concat(F.lit(" "), F.regexp_replace(folded, _NOT_WORD, " "), F.lit(" "))
+        # A term without a word in it is never found.
+        words = _words_only(folded)
+        return F.when(words != _NO_WORDS, words)
     return folded
 
 
+def _text_array(json_text: Column) -> Column:
+    """A constant array from one literal: thousands of literals take seconds to set up."""
+    return F.from_json(json_text, "array<string>")
+
+
+def _needles(terms: list[str], match: str, fold_keyword: bool) -> Column:
+    """``needle`` of every term, as a constant the planner works out once."""
+
+    def fold(text: Column) -> Column:
+        return F.lower(text) if fold_keyword else text
+
+    if match == "word":
+        lines = F.lit("\n".join(term.replace("\n", " ") for term in terms))
+        words = F.regexp_replace(fold(lines), r"[^\p{L}\p{N}\n]+", " ")
+        words = F.trim(F.regexp_replace(words, r" *\n *", "\n"))
+        spaced = F.concat(F.lit(" "), F.regexp_replace(words, "\n", " \n "), F.lit(" "))
+        return F.split(spaced, "\n")
+    listed = [f" {term} " for term in terms] if match == "spaced" else terms
+    text = F.lit(json.dumps(listed, ensure_ascii=False))
+    return _text_array(text if match == "regex" else fold(text))
+
+
 def _found(text: Column, sought: Column, match: str) -> Column:
     if match == "like":
         return F.like(text, F.concat(F.lit("%"), sought, F.lit("%")))
     if match == "regex":
         # The whole text has to match, and a dot stops at a line end.
         return F.rlike(text, F.concat(F.lit(r"\A(?:(?i).*"), sought, F.lit(r".*)\z")))
+    if match == "word":
+        return F.contains(text, sought) & (sought != _NO_WORDS)
     return F.contains(text, sought)
 
 
-def _is_pattern(match: str) -> bool:
-    return match in ("like", "regex")
+def _either(conditions: list[Column]) -> Column:
+    """OR as a flat tree: a chain of a thousand would overflow the stack of the planner."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return _either(conditions[:half]) | _either(conditions[half:])
 
 
-def _with_text(text: Column, match: str, body: Callable[[Column], Column]) -> Column:
-    return let(searchable(text, match), body)
+def _constant_patterns(terms: Sequence[str], match: str) -> bool:
+    return match in ("like", "regex") and len(terms) <= CONSTANT_PATTERNS
 
 
-def _entries(terms: Sequence[str], match: str, fold_keyword: bool) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(term).alias("term"),
-                needle(F.lit(term), match, fold_keyword).alias("needle"),
-            )
-            for term in terms
-        ]
-    )
+def _by_wildcards(terms: list[str], match: str) -> tuple[list[str], list[str]]:
+    """The terms of a ``like`` list that are plain substrings, and the others."""
+    if match != "like":
+        return [], terms
+    plain: list[str] = []
+    wild: list[str] = []
+    for term in terms:
+        (wild if any(sign in term for sign in "%_\\") else plain).append(term)
+    return plain, wild
+
+
+def _with_text(text: Column, match: str, body: Callable[[Column], Column]) -> Column:
+    return let(searchable(text, match), body)
 
 
 def matched_terms(
@@ -81,46 +124,38 @@ def matched_terms(
     match: str = "contains",
     fold_keyword: bool = True,
 ) -> Column:
-    """Array of the terms found in ``text``, in list order; NULL for NULL text.
+    """Array of the terms found in ``text``; NULL for NULL text.
 
     A term listed twice is found twice. The text is always compared in lower case except
     by ``regex``, which ignores case by itself; ``fold_keyword=False`` leaves the terms
     as they are, so one with a capital letter is never found.
     """
+    terms = list(terms)
     if not terms:
         return F.when(text.isNotNull(), F.array().cast("array<string>"))
-    if _is_pattern(match):
-        # Constant patterns are compiled once per task.
-        return _with_text(
-            text,
-            match,
-            lambda body: F.when(
-                body.isNotNull(),
-                F.array_compact(
-                    F.array(
-                        *[
-                            F.when(
-                                _found(body, needle(F.lit(term), match, fold_keyword), match),
-                                F.lit(term),
-                            )
-                            for term in terms
-                        ]
-                    )
-                ),
-            ),
-        )
-    entries = _entries(terms, match, fold_keyword)
-    return _with_text(
-        text,
-        match,
-        lambda body: F.when(
-            body.isNotNull(),
-            F.transform(
-                F.filter(entries, lambda entry: _found(body, entry["needle"], match)),
-                lambda entry: entry["term"],
-            ),
-        ),
-    )
+    plain, wild = _by_wildcards(terms, match)
+    if plain:
+        found_plain = matched_terms(text, plain, "contains", fold_keyword)
+        return F.concat(found_plain, matched_terms(text, wild, match, fold_keyword))
+    if _constant_patterns(terms, match):
+
+        def found(body: Column) -> Column:
+            conditions = [
+                F.when(_found(body, needle(F.lit(term), match, fold_keyword), match), F.lit(term))
+                for term in terms
+            ]
+            return F.array_compact(F.array(*conditions))
+
+    else:
+        listed = _text_array(F.lit(json.dumps(terms, ensure_ascii=False)))
+        needles = _needles(terms, match, fold_keyword)
+
+        def found(body: Column) -> Column:
+            return F.filter(
+                listed, lambda _, index: _found(body, F.get(needles, index), match)
+            )
+
+    return _with_text(text, match, lambda body: F.when(body.isNotNull(), found(body)))
 
 
 def any_match(
@@ -130,23 +165,24 @@ def any_match(
     fold_keyword: bool = True,
 ) -> Column:
     """Whether ``text`` holds at least one term; false for NULL text, never NULL."""
+    terms = list(terms)
     if not terms:
         return F.lit(False)
-    if _is_pattern(match):
+    plain, wild = _by_wildcards(terms, match)
+    if plain:
+        plain_hit = any_match(text, plain, "contains", fold_keyword)
+        return plain_hit | any_match(text, wild, match, fold_keyword)
+    if _constant_patterns(terms, match):
+
+        def hit(body: Column) -> Column:
+            return _either(
+                [_found(body, needle(F.lit(term), match, fold_keyword), match) for term in terms]
+            )
+
+    else:
+        needles = _needles(terms, match, fold_keyword)
 
         def hit(body: Column) -> Column:
-            found = F.lit(False)
-            for term in terms:
-                found = found | _found(body, needle(F.lit(term), match, fold_keyword), match)
-            return found
-
-        return F.coalesce(_with_text(text, match, hit), F.lit(False))
-    needles = F.array(*[needle(F.lit(term), match, fold_keyword) for term in terms])
-    return F.coalesce(
-        _with_text(
-            text,
-            match,
-            lambda body: F.exists(needles, lambda sought: _found(body, sought, match)),
-        ),
-        F.lit(False),
-    )
+            return F.exists(needles, lambda sought: _found(body, sought, match))
+
+    return F.coalesce(_with_text(text, match, hit), F.lit(False))

@@ -13,10 +13,12 @@ from postsift.defaults import EXTRA_STOP_WORDS
 # Separators of the two tokenizers and of the word cleaner.
 WHITESPACE = r"\s+"
 DELIMITERS = r'[ ",()*]+'
-WORD_BREAKS = r'[\s,;:@#$%&?!"()\[\]{}<>]+'
-ALPHANUMERIC = r"^[\p{L}\p{N}]+$"
+WORD_BREAKS = r'\s,;:@#$%&?!"()\[\]{}<>'
 AFTER_COMMA = r"[^,]+,\s*(.*)"
 
+# Letters and digits from one break to the next, with nothing but one period in between.
+_CLEAN_WORD = rf"(?<![^{WORD_BREAKS}])[\p{{L}}\p{{N}}]++(?=\.?(?:[{WORD_BREAKS}]|\z))"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body`` as often as needed.
@@ -71,11 +73,38 @@ def clean_tokens(text: Column, stop: Sequence[str] | None = None) -> Column:
     apostrophe) is dropped whole.
     """
     stop = stop_words() if stop is None else list(stop)
-    words = F.transform(
-        F.split(F.lower(text), WORD_BREAKS), lambda word: F.regexp_replace(word, r"\.$", "")
+    words = F.regexp_extract_all(F.lower(text), F.lit(_CLEAN_WORD), F.lit(0))
+    return F.filter(words, lambda word: ~word.isin(stop))
+
+
+def word_counts(words: Column) -> Column:
+    """Array of ``term, count``, one entry per different word; NULL without any word.
+
+    Words are sorted inside the row and counted by the distance between the places where
+    the word changes.
+    """
+
+    def counted(ordered: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(ordered)),
+            lambda at: (at == 1) | (F.get(ordered, at - 1) != F.get(ordered, at - 2)),
+        )
+        return let(
+            starts,
+            lambda first: F.transform(
+                first,
+                lambda at, index: F.struct(
+                    F.get(ordered, at - 1).alias("term"),
+                    (F.coalesce(F.get(first, index + 1), F.size(ordered) + 1) - at)
+                    .cast("bigint")
+                    .alias("count"),
+                ),
+            ),
+        )
+
+    return let(
+        F.array_sort(words), lambda ordered: F.when(F.size(ordered) > 0, counted(ordered))
     )
-    keep = lambda word: word.rlike(ALPHANUMERIC) & ~word.isin(stop)
-    return F.filter(words, keep)
 
 
 def left_justified(text: Column, width: int = 15) -> Column:

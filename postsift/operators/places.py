@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postsift.defaults import COUNTRY
 from postsift.functions.text import state_of
 from postsift.schemas import POST_COLUMNS
+from postsift.storage import fits_in_memory, written
 
 from .keywords import censor
 from .skew import every_salt, salt_of
@@ -82,19 +83,21 @@ def with_group_count(
 ) -> DataFrame:
     """Add to every row the number of rows that share its key; NULL is a key too.
 
-    A window would bring a whole group into one task. Here the groups are counted first,
-    and the counts are joined back with every group spread over several partitions.
+    A window would bring a whole group into one task. Here the groups are counted first.
+    If their table is small, which is looked up, it is copied to the rows; otherwise the
+    rows of a group are spread over several partitions to meet it.
     ``counts`` (key, name) may be given where there is a cheaper way to get them.
     """
     if counts is None:
         counts = df.groupBy(key).agg(F.count("*").alias(name))
-    counts = counts.select(F.col(key).alias("__key"), name, every_salt().alias("__part"))
-    rows = df.withColumn("__row_part", salt_of(*[F.col(column) for column in df.columns]))
-    joined = rows.join(
-        counts,
-        rows[key].eqNullSafe(counts["__key"]) & (rows["__row_part"] == counts["__part"]),
-    )
-    return joined.drop("__key", "__part", "__row_part")
+    counts = written(counts.select(F.col(key).alias("__key"), name))
+    if fits_in_memory(counts):
+        joined = df.join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("__key")))
+        return joined.drop("__key")
+    salted = df.withColumn("__salt", salt_of(*[F.col(column) for column in df.columns]))
+    copied = counts.select("*", every_salt().alias("__part"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__part"))
+    return salted.join(copied, same).drop("__key", "__salt", "__part")
 
 
 def state_members(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from postsift.defaults import BRANDS, INLINE_TERMS, NEGATIVE_WORDS, POSITIVE_WORDS, SENTIMENTS
 from postsift.functions.matching import any_match
-from postsift.functions.text import let, tokens
+from postsift.functions.text import let, tokens, word_counts
 
 from .keywords import keyword_pairs
-from .skew import every_salt, salt_of
+from .skew import spread_join
 from .term_join import text_key
 from .terms import Terms
 
@@ -32,7 +32,7 @@ def unique_words(lexicon: DataFrame) -> DataFrame:
 
 
 def _inline_ratings(lexicon: DataFrame) -> dict[int, list[str]] | None:
-    """Words by rating, or None when the list is too large or rates a word twice."""
+    """Words by rating, or None when the list cannot be looked up inside the scan stage."""
     rated = lexicon.where(F.col("word").isNotNull() & F.col("rating").isNotNull())
     size = rated.agg(
         F.count("*").alias("rows"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")
@@ -43,24 +43,31 @@ def _inline_ratings(lexicon: DataFrame) -> dict[int, list[str]] | None:
     by_rating: dict[int, list[str]] = {}
     for row in rows:
         by_rating.setdefault(row["rating"], []).append(row["word"])
-    if len(by_rating) > 50 or len({row["word"] for row in rows}) < len(rows):
+    twice = len({row["word"] for row in rows}) < len(rows)
+    if twice or len(by_rating) > 50 or any("\\" in row["word"] for row in rows):
         return None
     return {rating: sorted(words) for rating, words in sorted(by_rating.items())}
 
 
-def _mean_rating(words: Column, by_rating: dict[int, list[str]]) -> Column:
-    """Mean rating of the rated words, NULL without any. Each lookup is a hash probe."""
-    if not by_rating:
-        return F.lit(None).cast("double")
-    known = [word for listed in by_rating.values() for word in listed]
+def _quoted(words: Sequence[str]) -> str:
+    return ", ".join("'" + word.replace("'", "\\'") + "'" for word in words)
+
 
-    def rating(word: Column) -> Column:
-        chosen = F.lit(None).cast("int")
-        for value, listed in by_rating.items():
-            chosen = F.when(word.isin(listed), F.lit(value)).otherwise(chosen)
-        return chosen.cast("bigint")
+def _mean_rating(words: str, by_rating: dict[int, list[str]]) -> Column:
+    """Mean rating of the rated words in an array column, NULL without any.
 
-    ratings = F.transform(F.filter(words, lambda word: word.isin(known)), rating)
+    Each lookup is a hash probe, as lists of constants are. The lists are written as SQL
+    text, because thousands of literals take seconds to set up one by one.
+    """
+    if not by_rating:
+        return F.lit(None).cast("double")
+    known = _quoted([word for listed in by_rating.values() for word in listed])
+    cases = " ".join(
+        f"WHEN word IN ({_quoted(listed)}) THEN {rating}L" for rating, listed in by_rating.items()
+    )
+    ratings = F.expr(
+        f"transform(filter({words}, word -> word IN ({known})), word -> CASE {cases} END)"
+    )
     return let(
         ratings,
         lambda found: F.when(
@@ -103,38 +110,33 @@ def lexicon_score(
         posts = posts.where(F.col("tweet_content").isNotNull())
     else:
         posts = posts.where(F.size(words) > 0)
-    return posts.withColumn("tweet_rating", _mean_rating(words, by_rating))
+    scored = posts.withColumn("__words", words)
+    return scored.withColumn("tweet_rating", _mean_rating("__words", by_rating)).drop("__words")
 
 
 def _score_by_join(posts: DataFrame, lexicon: DataFrame, words: Column) -> DataFrame:
     """The same for a lexicon of any size, or one that rates a word more than once.
 
-    Words travel without their text. Each post's words are counted before they are joined,
-    and a frequent word is spread over several partitions.
+    Words travel without their text, counted inside their row. Equal (id, content) rows
+    share a key; adding up their words twice leaves the mean as it is.
     """
-    rows = posts.where(F.size(words) > 0).distinct()
-    keyed = rows.withColumn("__key", text_key(F.col("tweet_content")))
-    counted = (
-        keyed.select("tweet_id", "__key", F.explode(words).alias("word"))
-        .groupBy("tweet_id", "__key", "word")
-        .agg(F.count("*").alias("times"))
-        .withColumn("__salt", salt_of(F.col("tweet_id"), F.col("__key")))
-    )
-    rated = lexicon.where(F.col("rating").isNotNull()).select(
-        "word", "rating", every_salt().alias("__salt")
-    )
+    named = F.coalesce(F.concat(F.lit("="), F.col("tweet_id").cast("string")), F.lit("-"))
+    key = text_key(F.concat(named, F.lit("\n"), F.col("tweet_content")))
+    keyed = posts.where(F.size(words) > 0).withColumn("__key", key)
+    counted = keyed.select("__key", F.inline(word_counts(words))).toDF("__key", "word", "times")
+    rated = lexicon.where(F.col("rating").isNotNull()).select("word", "rating")
     scores = (
-        counted.join(rated, ["word", "__salt"])
-        .groupBy("tweet_id", "__key")
+        spread_join(counted, rated, "word", F.col("__key"))
+        .groupBy("__key")
         .agg(
             F.sum(F.col("rating").cast("bigint") * F.col("times")).alias("total"),
             F.sum("times").alias("found"),
         )
-        .withColumnRenamed("tweet_id", "__id")
-        .withColumnRenamed("__key", "__text")
     )
-    same = keyed["tweet_id"].eqNullSafe(scores["__id"]) & (keyed["__key"] == scores["__text"])
-    return keyed.join(scores, same, "left").select(
+    texts = keyed.groupBy("__key").agg(
+        F.first("tweet_id").alias("tweet_id"), F.first("tweet_content").alias("tweet_content")
+    )
+    return texts.join(scores, "__key", "left").select(
         "tweet_id", "tweet_content", (F.col("total") / F.col("found")).alias("tweet_rating")
     )
 

@@ -20,14 +20,14 @@ def every_salt() -> Column:
     return F.explode(F.array(*[F.lit(salt).cast("bigint") for salt in range(SALTS)]))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: Column) -> DataFrame:
     """Inner join where a key of ``left`` may have any number of rows.
 
     A ``right`` side measured to be small is copied, so that ``left`` stays where it is.
-    Otherwise the rows of one key are spread by their value of ``by``.
+    Otherwise the rows of one key are spread by ``by``, and ``right`` is copied to each part.
     """
     if fits_in_memory(right):
         return left.join(F.broadcast(right), on)
-    salted = left.withColumn("__salt", salt_of(F.col(by)))
+    salted = left.withColumn("__salt", salt_of(by))
     copied = right.select("*", every_salt().alias("__salt"))
     return salted.join(copied, [on, "__salt"]).drop("__salt")

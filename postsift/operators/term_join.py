@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from postsift.functions.matching import needle, searchable
 from postsift.storage import written
 
-from .skew import every_salt, salt_of, spread_join
+from .skew import spread_join
 from .terms import as_column
 
 #: Length of the start of a piece that serves as join key.
@@ -40,20 +40,15 @@ def _needles(terms: DataFrame, match: str, fold_keyword: bool) -> DataFrame:
     ).withColumn("piece", piece)
 
 
-def _grams(word: Column) -> Column:
-    """Distinct substrings of length 1 to GRAM."""
-    sizes = F.sequence(F.lit(1), F.least(F.length(word), F.lit(GRAM)))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                sizes,
-                lambda size: F.transform(
-                    F.sequence(F.lit(1), F.length(word) - size + 1),
-                    lambda start: F.substring(word, start, size),
-                ),
-            )
-        )
-    )
+def _grams(word: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
+
+    def of_size(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word) - (size - 1))
+        cut = F.transform(starts, lambda start: F.substring(word, start, F.lit(size)))
+        return F.when(F.length(word) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of_size, sizes)))
 
 
 def pairs_by_words(
@@ -72,33 +67,33 @@ def pairs_by_words(
         "__key",
         F.explode(F.array_distinct(F.split(searchable(F.col(text), match), " "))).alias("word"),
     ).where(F.col("word") != "")
+    pieces = needles.where(F.col("piece") != "").select("piece").distinct()
+    pieces = pieces.withColumn("gram", F.substring("piece", 1, GRAM))
+    # At most GRAM different lengths.
+    sizes = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()]
     grams = (
         words.select("word")
         .distinct()
-        .select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+        .select("word", F.explode(_grams(F.col("word"), sorted(sizes))).alias("gram"))
     )
-    pieces = needles.where(F.col("piece") != "").select("piece").distinct()
-    pieces = pieces.withColumn("gram", F.substring("piece", 1, GRAM))
     touched = written(
         grams.join(pieces, "gram").where(F.contains("word", "piece")).select("word", "piece")
     )
 
-    candidates = spread_join(words, touched, "word", "__key").select("__key", "piece").distinct()
-    candidates = spread_join(candidates, needles, "piece", "__key")
-    # Blank terms touch no word; there is one of them per length at most.
-    blank = needles.where(F.col("piece") == "").select("term", "needle", "copies")
-    columns = [F.col(name) for name in df.columns]
-
-    # Rows with the same text are spread, its terms are copied to each partition.
-    spread_terms = candidates.select(
-        "__key", "term", "needle", "copies", every_salt().alias("__salt")
+    key = F.col("__key")
+    candidates = spread_join(words, touched, "word", key).select("__key", "piece").distinct()
+    candidates = written(
+        spread_join(candidates, needles, "piece", key).select("__key", "term", "needle", "copies")
     )
+    columns = [F.col(name) for name in df.columns]
+    repeated = F.array_repeat("term", F.col("copies").cast("int"))
     checked = (
-        rows.withColumn("__salt", salt_of(*columns))
-        .join(spread_terms, ["__key", "__salt"])
+        spread_join(rows, candidates, "__key", F.struct(*columns))
         .where(F.contains(searchable(F.col(text), match), "needle"))
-        .select(*columns, F.explode(F.array_repeat("term", F.col("copies").cast("int"))).alias(keyword))
+        .select(*columns, F.explode(repeated).alias(keyword))
     )
+    # Blank terms touch no word; there is one of them per length at most.
+    blank = needles.where(F.col("piece") == "").select("term", "needle", "copies")
     return checked.unionByName(_blank_pairs(rows, blank, text, match, columns, keyword))
 
 

@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsift.defaults import (
@@ -22,7 +22,7 @@ from postsift.defaults import (
     TOPIC_WORDS,
     TOPICS,
 )
-from postsift.functions.text import clean_tokens, let
+from postsift.functions.text import clean_tokens, let, word_counts
 
 _HASH_RANGE = 1 << 40
 
@@ -72,32 +72,8 @@ def vocabulary(
 
 
 def bag_of_words(docs: DataFrame, id: str = "id", tokens: str = "tokens") -> DataFrame:
-    """``id, term, count``, one row per text and different word.
-
-    Words are sorted inside their row and counted by the distance between the places where
-    the word changes, so nothing is shuffled.
-    """
-    def runs(words: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(words)),
-            lambda at: (at == 1) | (F.get(words, at - 1) != F.get(words, at - 2)),
-        )
-        return let(
-            starts,
-            lambda first: F.transform(
-                first,
-                lambda at, index: F.struct(
-                    F.get(words, at - 1).alias("term"),
-                    (F.coalesce(F.get(first, index + 1), F.size(words) + 1) - at)
-                    .cast("bigint")
-                    .alias("count"),
-                ),
-            ),
-        )
-
-    sorted_words = F.array_sort(F.col(tokens))
-    counted = let(sorted_words, lambda words: F.when(F.size(words) > 0, runs(words)))
-    return docs.select(id, F.inline(counted))
+    """``id, term, count``, one row per text and different word; nothing is shuffled."""
+    return docs.select(id, F.inline(word_counts(F.col(tokens))))
 
 
 def fit_topics(
