@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postsift import sinks, sources
 from postsift.functions import clean_tokens, one_line, state_of, tokens
@@ -399,8 +400,9 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def json_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "events").select(F.col("props").alias("value"))
-    record = F.from_json("value", "k BIGINT")["k"]
-    return lines.groupBy(record.alias("k")).agg(F.count("*").alias("count"))
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    parsed = sources.parse_lines(lines, schema)
+    return parsed.groupBy("k").agg(F.count("*").alias("count"))
 
 
 def _written_tweets(spark: SparkSession, sf_dir: str) -> str:

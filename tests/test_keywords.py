@@ -171,3 +171,31 @@ def test_a_short_list_needs_no_join_and_no_shuffle(spark, tmp_path, posts):
         assert "Join" not in plan(df) and "Exchange" not in plan(df)
     count = plan(keywords.count_matches(stored, CATS))
     assert "ReadSchema: struct<content:string>" in count
+
+
+@pytest.mark.parametrize("match", ["like", "regex"])
+def test_patterns_compiled_per_task_or_per_text_find_the_same(posts, monkeypatch, match):
+    terms = ["k_c", "KFC", "c.t", "my", "%ter", "b.d|x", ""]
+    constant = rows(keywords.keyword_pairs(posts, terms, match=match), "id", "keyword")
+    hits = rows(posts.where(any_match(F.col("content"), terms, match)), "id")
+    monkeypatch.setattr("postsift.functions.matching.CONSTANT_PATTERNS", 0)
+    assert rows(keywords.keyword_pairs(posts, terms, match=match), "id", "keyword") == constant
+    assert rows(posts.where(any_match(F.col("content"), terms, match)), "id") == hits
+    assert len(constant) > len(hits) > 0
+
+
+def test_a_join_that_does_not_fit_in_memory_is_salted(spark, posts, monkeypatch):
+    table = spark.createDataFrame([(term,) for term in TABLE], "term string")
+    flat = posts.select("id", "content")
+    copied = rows(pairs_by_words(flat, table))
+    monkeypatch.setattr("postsift.operators.skew.fits_in_memory", lambda df: False)
+    assert rows(pairs_by_words(flat, table)) == copied
+
+
+def test_terms_with_signs_of_other_languages(spark):
+    texts = ['say "no"', "it's 100%", "tab\there", "back\\slash", "ÉCOLE", "line\nend", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    for index, text in enumerate(texts):
+        assert rows(keywords.keyword_pairs(df, [text]), "id", "keyword") == [(index, text)]
+    assert rows(keywords.keyword_pairs(df, ["école"], match="word"), "id") == [(4,)]
+    assert rows(keywords.keyword_pairs(df, ["!!", "a  b!"], match="word"), "id") == [(6,)]

@@ -59,3 +59,10 @@ def test_group_counts_need_no_window(posts):
         (1, 2), (2, 2), (3, 1), (4, 2), (5, 1), (6, 1), (7, 1), (8, 2)
     ]
     assert "Window" not in plan(counted)
+
+
+def test_many_states_are_joined_in_parts(posts, monkeypatch):
+    columns = ("state", "cantidad_tweets", "content")
+    copied = rows(places.state_members(posts, WORDS), *columns)
+    monkeypatch.setattr(places, "fits_in_memory", lambda df: False)
+    assert rows(places.state_members(posts, WORDS), *columns) == copied

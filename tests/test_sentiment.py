@@ -97,3 +97,11 @@ def test_brand_sentiment(spark, posts):
     assert [tuple(row)[:2] for row in filled] == sorted(tuple(row)[:2] for row in filled)
     table = spark.createDataFrame([("kfc",), ("mcdonald's",), ("starbucks",)], "brand string")
     assert rows(sentiment.brand_sentiment(posts, table)) == sorted(tuple(row) for row in filled)
+
+
+def test_words_with_quotes_and_backslashes(spark):
+    df = spark.createDataFrame([(1, "can't a\\b ok")], "id bigint, content string")
+    quoted = spark.createDataFrame([("can't", -3), ("ok", 1)], "word string, rating int")
+    assert sentiment.lexicon_score(df, quoted).first()["tweet_rating"] == -1.0
+    slashed = spark.createDataFrame([("a\\b", 2)], "word string, rating int")
+    assert sentiment.lexicon_score(df, slashed).first()["tweet_rating"] == 2.0
