@@ -103,7 +103,7 @@ def word_counts(words: Column) -> Column:
         )
 
     return let(
-        F.array_sort(words), lambda ordered: F.when(F.size(ordered) > 0, counted(ordered))
+        F.sort_array(words), lambda ordered: F.when(F.size(ordered) > 0, counted(ordered))
     )
 
 

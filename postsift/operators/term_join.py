@@ -23,8 +23,11 @@ GRAM = 3
 
 
 def text_key(text: Column) -> Column:
-    """32 bytes that stand for a text in joins and distincts."""
-    return F.unhex(F.sha2(text, 256))
+    """32 bytes that stand for a text in joins and distincts, none for a missing text.
+
+    Never NULL, so that no join has to compute it once more to leave NULLs out.
+    """
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
 def _needles(terms: DataFrame, match: str, fold_keyword: bool) -> DataFrame:
