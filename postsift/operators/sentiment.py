@@ -92,7 +92,7 @@ def lexicon_score(
 ) -> DataFrame:
     """``tweet_id, tweet_content, tweet_rating``: mean rating of the rated words of a post.
 
-    The score depends on the text alone, so it is computed inside the row; the reference
+    The score depends on the text alone, so it is computed inside the row; the
     result has one row per different (id, content), so equal rows have to be dropped only
     if an id repeats. ``unique_ids`` says so beforehand; None looks it up by reading the
     id column alone. A post without text, or without any token, gives no row.
