@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op10_quality_rules
-from .common import documents, labels
+from . import op05_quality_classifier, op09_secret_scans, op10_quality_rules
+from .common import bucket_of, documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    known = labels(spark, sf_dir).where(bucket_of("doc_id", 5) != 0)
+    model = op05_quality_classifier.fit_quality(docs, known.select("doc_id", F.col("quality").alias("label")))
+    scored = docs.select("doc_id", op05_quality_classifier.quality_score(model, F.col("text")).alias("score"))
+    return scored.select(
+        "doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_secret_scans.scan_secrets(documents(spark, sf_dir)).drop("owned", "base", "row_key")
+
+
 def op10_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     trusted = labels(spark, sf_dir).where("quality = 1 AND toxic = 0")
@@ -21,11 +36,14 @@ def op10_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_quality_classifier": op5_quality_classifier,
+        "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_secret_scans": op09_secret_scans.sql(),
         "op10_quality_rules": op10_quality_rules.sql(),
     }
