@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op05_quality_classifier, op09_secret_scans, op10_quality_rules
+from . import op05_quality_classifier, op07_byte_bpe, op09_secret_scans, op10_quality_rules
 from .common import bucket_of, documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_pairs(spark: SparkSession) -> op07_byte_bpe.BytePairs:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return op07_byte_bpe.BytePairs(spark, path, public_tokenizers.PATTERN)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_byte_bpe.encode_decode(documents(spark, sf_dir), byte_pairs(spark)).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_secret_scans.scan_secrets(documents(spark, sf_dir)).drop("owned", "base", "row_key")
 
@@ -37,6 +49,7 @@ def op10_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op5_quality_classifier": op5_quality_classifier,
+        "op7_byte_bpe": op7_byte_bpe,
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules_query,
     }
