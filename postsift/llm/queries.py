@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op05_quality_classifier, op07_byte_bpe, op09_secret_scans, op10_quality_rules
+from . import op05_quality_classifier, op07_byte_bpe, op08_warc, op09_secret_scans, op10_quality_rules
 from .common import bucket_of, documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,34 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = op08_warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    measured = records.select(
+        "page_id",
+        F.coalesce(F.octet_length("payload"), "payload_bytes").cast("bigint").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+    return measured
+
+
+_WARC_SQL = """
+WITH digested AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first
+    FROM digested
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first < page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_secret_scans.scan_secrets(documents(spark, sf_dir)).drop("owned", "base", "row_key")
 
@@ -50,6 +78,7 @@ def queries() -> dict[str, Query]:
     return {
         "op5_quality_classifier": op5_quality_classifier,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_warc": op8_warc,
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules_query,
     }
@@ -57,6 +86,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc": _WARC_SQL,
         "op9_secret_scans": op09_secret_scans.sql(),
         "op10_quality_rules": op10_quality_rules.sql(),
     }
