@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op05_quality_classifier, op07_byte_bpe, op08_warc, op09_secret_scans, op10_quality_rules
+from . import op03_minhash_dedup, op05_quality_classifier, op06_decontamination, op07_byte_bpe, op08_warc, op09_secret_scans, op10_quality_rules
 from .common import bucket_of, documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_minhash_dedup.near_duplicates(documents(spark, sf_dir), words=2)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     known = labels(spark, sf_dir).where(bucket_of("doc_id", 5) != 0)
@@ -24,6 +28,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return op06_decontamination.containment(documents(spark, sf_dir), items)
+
+
 def byte_pairs(spark: SparkSession) -> op07_byte_bpe.BytePairs:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return op07_byte_bpe.BytePairs(spark, path, public_tokenizers.PATTERN)
@@ -76,7 +85,9 @@ def op10_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_decontamination": op6_decontamination,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_warc": op8_warc,
         "op9_secret_scans": op9_secret_scans,
@@ -86,6 +97,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_minhash_dedup": op03_minhash_dedup.SQL,
+        "op6_decontamination": op06_decontamination.SQL,
         "op8_warc": _WARC_SQL,
         "op9_secret_scans": op09_secret_scans.sql(),
         "op10_quality_rules": op10_quality_rules.sql(),
