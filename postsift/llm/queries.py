@@ -8,12 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op03_minhash_dedup, op05_quality_classifier, op06_decontamination, op07_byte_bpe, op08_warc, op09_secret_scans, op10_quality_rules
+from . import (
+    op01_toxicity,
+    op02_sentence_spans,
+    op03_minhash_dedup,
+    op05_quality_classifier,
+    op06_decontamination,
+    op07_byte_bpe,
+    op08_warc,
+    op09_secret_scans,
+    op10_quality_rules,
+)
 from .common import bucket_of, documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    known = labels(spark, sf_dir).where(bucket_of("doc_id", 3) != 1)
+    model = op01_toxicity.fit_toxicity(docs, known.select("doc_id", F.col("toxic").alias("label")))
+    scored = docs.select("doc_id", op01_toxicity.toxicity_score(model, F.col("text")).alias("found"))
+    return scored.select(
+        "doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), F.col("found.score").alias("score"),
+        (F.col("found.score") >= 0.7).cast("int").alias("predicted"), F.col("found.evidence").alias("evidence"),
+    )
+
+
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_sentence_spans.remove_repeated_sentences(documents(spark, sf_dir))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_minhash_dedup.near_duplicates(documents(spark, sf_dir), words=2)
 
@@ -85,6 +110,8 @@ def op10_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_sentence_spans": op2_sentence_spans,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_decontamination": op6_decontamination,
@@ -97,6 +124,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_sentence_spans": op02_sentence_spans.SQL,
         "op3_minhash_dedup": op03_minhash_dedup.SQL,
         "op6_decontamination": op06_decontamination.SQL,
         "op8_warc": _WARC_SQL,
