@@ -34,7 +34,7 @@ MAX_EXAMPLES = 20_000
 MAX_TERMS = 2_048
 # A term is chosen if so many toxic examples hold it, and so large a share of its examples is toxic.
 MIN_TOXIC = 5
-MIN_SHARE = 0.6
+MIN_SHARE = 0.75
 PREFIXES = (3, 4, 5, 6)
 NEAREST = 15
 PRIOR = 0.3

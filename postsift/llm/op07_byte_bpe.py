@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -152,14 +152,14 @@ def _codec(key: str, shared) -> Codec:
     return _CODECS[key]
 
 
-def encode_decode(docs: DataFrame, pairs: BytePairs, *, text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, pairs: BytePairs, *, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids, decoded.
 
     Null and empty texts have no ids and decode to no bytes. Repeated rows and null ids are kept,
-    further columns left out, whatever their names. An empty table gives an empty result.
+    further columns left out unless ``keep`` names them. An empty table gives an empty result.
     """
-    encoded = docs.select("doc_id", pairs.encode(F.col(text)).alias("ids"))
+    encoded = docs.select("doc_id", *keep, pairs.encode(F.col(text)).alias("ids"))
     return encoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
+        "doc_id", *keep, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
         pairs.decode(F.col("ids")).alias("decoded"),
     )

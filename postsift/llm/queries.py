@@ -12,6 +12,7 @@ from . import (
     op01_toxicity,
     op02_sentence_spans,
     op03_minhash_dedup,
+    op04_suffix_dedup,
     op05_quality_classifier,
     op06_decontamination,
     op07_byte_bpe,
@@ -43,6 +44,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_minhash_dedup.near_duplicates(documents(spark, sf_dir), words=2)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     known = labels(spark, sf_dir).where(bucket_of("doc_id", 5) != 0)
@@ -113,6 +118,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_sentence_spans": op2_sentence_spans,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_decontamination": op6_decontamination,
         "op7_byte_bpe": op7_byte_bpe,
