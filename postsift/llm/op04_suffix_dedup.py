@@ -366,7 +366,7 @@ def _remove(length: int, buckets: int):
     return remove
 
 
-def _join_parts(length: int):
+def _join_parts(chunk_bytes: int):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         """Puts the parts of a long text together; all but the last end with what the next begins."""
         rows = rows.sort_values("part", kind="stable")
@@ -375,7 +375,7 @@ def _join_parts(length: int):
             low, high = np.frombuffer(runs, np.int64).reshape(2, -1)
             lows.append(low + at)
             highs.append(high + at)
-            own = text if k == len(rows) - 1 else text[: len(text) - length + 1]
+            own = text if k == len(rows) - 1 else text[:chunk_bytes]
             data.append(own)
             at += len(own)
         text = b"".join(data)
@@ -428,10 +428,10 @@ def remove_repeated_bytes(
     strings = written(with_answers(sample).mapInPandas(_send_strings(length, buckets), SENT))
     repeated = written(sorted_by_bucket(strings.where("bucket >= 0"), _sort_string_bucket))
     done = with_answers(strings.where("bucket = -1"), repeated).mapInPandas(_remove(length, buckets), PARTS)
-    return _finish(done, chunks, length)
+    return _finish(done, chunks, chunk_bytes)
 
 
-def _finish(done: DataFrame, chunks: DataFrame, length: int) -> DataFrame:
+def _finish(done: DataFrame, chunks: DataFrame, chunk_bytes: int) -> DataFrame:
     """Whole documents as they are, parts of long ones put together."""
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     cut = chunks.where("NOT first OR NOT last")
@@ -448,6 +448,6 @@ def _finish(done: DataFrame, chunks: DataFrame, length: int) -> DataFrame:
     done = written(done)
     parts = done.where("part >= 0").join(owned, "part").drop("owner").withColumnRenamed("begins", "owner")
     joined = parts.groupBy("owner").applyInPandas(
-        _join_parts(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+        _join_parts(chunk_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
     return done.where("part < 0").select(*columns).unionByName(joined)

@@ -140,6 +140,19 @@ class BytePairs:
 
         return decoded(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Ids of a text and the bytes that they decode to, in one pass and one worker."""
+        key, shared = self._key, self._shared
+
+        @F.pandas_udf("struct<ids:binary,decoded:binary>")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            codec = _codec(key, shared)
+            for texts in batches:
+                ids = [codec.encode(text) for text in texts]
+                yield pd.DataFrame({"ids": [row.tobytes() for row in ids], "decoded": [codec.decode(row) for row in ids]}, dtype=object)
+
+        return both(whole(text))
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -158,8 +171,7 @@ def encode_decode(docs: DataFrame, pairs: BytePairs, *, text: str = "text", keep
     Null and empty texts have no ids and decode to no bytes. Repeated rows and null ids are kept,
     further columns left out unless ``keep`` names them. An empty table gives an empty result.
     """
-    encoded = docs.select("doc_id", *keep, pairs.encode(F.col(text)).alias("ids"))
-    return encoded.select(
-        "doc_id", *keep, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
-        pairs.decode(F.col("ids")).alias("decoded"),
+    done = docs.select("doc_id", *keep, pairs.round_trip(F.col(text)).alias("bpe"))
+    return done.select(
+        "doc_id", *keep, (F.octet_length("bpe.ids") / 4).cast("bigint").alias("n_tokens"), "bpe.ids", "bpe.decoded"
     )
