@@ -32,8 +32,10 @@ from .components import components
 BANDS = 40
 ROWS = 6
 PERCENT = 80
-# Centres that a bucket gets per round at most.
+# Centres that a bucket gets in the first round at most, and how many times more in each further
+# one. Few are left by then, and a bucket of n that are not linked takes log n rounds.
 SLOTS = 4
+MORE_SLOTS = 8
 # Shingles that are permuted at once.
 _BLOCK = 2048
 # Hashes of words that a worker keeps.
@@ -161,6 +163,7 @@ def _linked(docs: DataFrame, classes: DataFrame, n: int, bands: int, rows: int,
         if open_members.isEmpty():
             break
         slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+        slots *= MORE_SLOTS
         centres = (
             open_members.groupBy("key", slot.alias("slot"))
             .agg(F.min(F.struct((-F.col("company")).alias("c"), "node", "size", "root")).alias("best"))
