@@ -21,7 +21,7 @@ TOP_SUBSTRINGS = 100
 TOPICS = 20
 TOPIC_WORDS = 10
 CHUNK = 10_000
-DICTIONARY_SAMPLE = 10_000
+PASSES = 5
 MIN_DOCS = 5
 MAX_DOC_SHARE = 0.5
 MAX_VOCABULARY = 100_000

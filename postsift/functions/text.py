@@ -35,7 +35,7 @@ def stripped(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    return F.translate(text, "\n", " ")
+    return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
 def state_of(full_name: Column, rule: str = "second") -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from postsift.defaults import ANTI_LABEL, PRO_LABEL
 from postsift.functions.matching import any_match, matched_terms
 from postsift.functions.text import let
+from postsift.storage import fits_in_memory, written
 
-from .term_join import pairs_by_words
+from .term_join import pairs_by_words, text_key
 from .terms import Terms, inline_terms, slices
 
 
@@ -61,14 +62,35 @@ def with_match_count(
     match: str = "contains",
     fold_keyword: bool = True,
 ) -> DataFrame:
-    """Add the number of keywords each post holds, 0 for NULL text, from a short list."""
+    """Add the number of keywords each post holds, 0 for NULL text."""
     terms = inline_terms(keywords)
     if terms is None:
-        raise ValueError("the list is too large to count per row, use keyword_pairs")
+        return _count_by_join(df, keywords, name, text, match, fold_keyword)
     found = matched_terms(F.col(text), terms, match, fold_keyword)
     return df.withColumn(name, F.coalesce(F.size(found), F.lit(0)))
 
 
+def _count_by_join(
+    df: DataFrame, keywords: DataFrame, name: str, text: str, match: str, fold_keyword: bool
+) -> DataFrame:
+    """The same from a table of any size: pairs are counted per text, by the text's key.
+
+    Equal texts are found equally often, so their pairs are divided by their number.
+    """
+    key = text_key(F.col(text)).alias("__key")
+    pairs = keyword_pairs(df.select(text), keywords, text, match, fold_keyword, "__keyword")
+    found = pairs.groupBy(key).agg(F.count("*").alias("__pairs"))
+    copies = df.where(F.col(text).isNotNull()).groupBy(key).agg(F.count("*").alias("__copies"))
+    each = written(
+        found.join(copies, "__key").select("__key", F.expr("__pairs div __copies").cast("int").alias(name))
+    )
+    keyed = df.withColumn("__key", text_key(F.col(text)))
+    if fits_in_memory(each):
+        each = F.broadcast(each)
+    joined = keyed.join(each, "__key", "left")
+    return joined.select(*df.columns, F.coalesce(name, F.lit(0)).alias(name))
+
+
 def matched_posts(
     df: DataFrame,
     keywords: Terms,
@@ -122,9 +144,12 @@ def _censor_by_join(
     fold_keyword: bool,
 ) -> Censored:
     pairs = keyword_pairs(df, keywords, text, match, fold_keyword, "__keyword").drop("__keyword")
-    hits = pairs.select(text).distinct()
-    kept = df.join(hits, text, "left_anti")
-    matches = pairs if count == "pairs" else df.join(hits, text, "left_semi")
+    hits = written(pairs.select(text_key(F.col(text)).alias("__key")).distinct())
+    if fits_in_memory(hits):
+        hits = F.broadcast(hits)
+    keyed = df.withColumn("__key", text_key(F.col(text)))
+    kept = keyed.join(hits, "__key", "left_anti").drop("__key")
+    matches = pairs if count == "pairs" else keyed.join(hits, "__key", "left_semi").drop("__key")
     return Censored(matches, kept.distinct() if remainder == "except" else kept)
 
 
@@ -227,11 +252,14 @@ def stance_overlap(
 
     ``pro`` and ``anti`` are the numbers of keywords found.
     """
+    sides = [inline_terms(pro), inline_terms(anti)]
+    if None in sides:
+        counted = with_match_count(df, pro, "pro", text, match, fold_keyword)
+        counted = with_match_count(counted, anti, "anti", text, match, fold_keyword)
+        both = (F.col("pro") > 0) & (F.col("anti") > 0)
+        return counted.where((F.col("pro") > 0) | (F.col("anti") > 0)).withColumn("overlap", both)
     numbers = []
-    for name, terms in (("pro", pro), ("anti", anti)):
-        listed = inline_terms(terms)
-        if listed is None:
-            raise ValueError("the list is too large to count per row, use stance_pairs")
+    for name, listed in zip(("pro", "anti"), sides):
         found = matched_terms(F.col(text), listed, match, fold_keyword)
         numbers.append(F.coalesce(F.size(found), F.lit(0)).alias(name))
     # A list of one entry or none keeps the search from being repeated in a filter.

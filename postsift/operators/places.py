@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postsift.defaults import COUNTRY
 from postsift.functions.text import state_of
 from postsift.schemas import POST_COLUMNS
-from postsift.storage import fits_in_memory, written
 
 from .keywords import censor
 from .skew import every_salt, salt_of
@@ -17,6 +16,9 @@ from .terms import Terms
 
 COUNTS = ("tweets", "pairs")
 
+#: So many counts of groups travel inside the plan.
+FEW_GROUPS = 10_000
+
 
 def state_matches(
     df: DataFrame,
@@ -84,14 +86,16 @@ def with_group_count(
     """Add to every row the number of rows that share its key; NULL is a key too.
 
     A window would bring a whole group into one task. Here the groups are counted first.
-    If their table is small, which is looked up, it is copied to the rows; otherwise the
-    rows of a group are spread over several partitions to meet it.
+    Up to ``FEW_GROUPS`` of them are copied to the rows; beyond that the rows of a group
+    are spread over several partitions to meet its count.
     ``counts`` (key, name) may be given where there is a cheaper way to get them.
     """
     if counts is None:
         counts = df.groupBy(key).agg(F.count("*").alias(name))
-    counts = written(counts.select(F.col(key).alias("__key"), name))
-    if fits_in_memory(counts):
+    counts = counts.select(F.col(key).alias("__key"), name)
+    few = counts.limit(FEW_GROUPS + 1).collect()
+    if len(few) <= FEW_GROUPS:
+        counts = df.sparkSession.createDataFrame(few, counts.schema)
         joined = df.join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("__key")))
         return joined.drop("__key")
     salted = df.withColumn("__salt", salt_of(*[F.col(column) for column in df.columns]))
@@ -139,12 +143,13 @@ def state_groups(
     """
     found = state_matches(df, keywords, country, state, count, match, fold_keyword)
     rows = _members(found, count, extra)
+    names = rows.columns
     if count == "pairs":
-        # Equal rows have to be told apart to be dealt to different parts.
-        rows = rows.withColumn("__copy", F.monotonically_increasing_id())
-        dealt = F.xxhash64(F.col("__copy"))
-    else:
-        dealt = F.xxhash64(*[F.col(name) for name in rows.columns])
+        # Equal rows are counted and numbered anew, so a lost task deals them as before.
+        counted = rows.groupBy(*names).agg(F.count("*").alias("__copies"))
+        numbered = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__copy")
+        rows = counted.select(*names, numbered)
+    dealt = F.xxhash64(*[F.col(name) for name in rows.columns])
     counts = None if extra else _counts(found, count)
     counted = with_group_count(rows, "state", "cantidad_tweets", counts)
     parts = F.ceil(F.col("cantidad_tweets") / F.lit(group_size))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postsift.defaults import BRANDS, INLINE_TERMS, NEGATIVE_WORDS, POSITIVE_WORDS, SENTIMENTS
 from postsift.functions.matching import any_match
@@ -14,7 +15,7 @@ from postsift.functions.text import let, tokens, word_counts
 from .keywords import keyword_pairs
 from .skew import spread_join
 from .term_join import text_key
-from .terms import Terms
+from .terms import Terms, as_column
 
 UNSCORED = ("negative", "drop", "neutral")
 
@@ -33,6 +34,8 @@ def unique_words(lexicon: DataFrame) -> DataFrame:
 
 def _inline_ratings(lexicon: DataFrame) -> dict[int, list[str]] | None:
     """Words by rating, or None when the list cannot be looked up inside the scan stage."""
+    if not isinstance(lexicon.schema["rating"].dataType, T.IntegralType):
+        return None
     rated = lexicon.where(F.col("word").isNotNull() & F.col("rating").isNotNull())
     size = rated.agg(
         F.count("*").alias("rows"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")
@@ -101,7 +104,7 @@ def lexicon_score(
     words = tokens(F.col("tweet_content"), tokenizer)
     by_rating = _inline_ratings(lexicon)
     if by_rating is None:
-        return _score_by_join(posts, lexicon, words)
+        return _score_by_join(posts, lexicon, words, unique_ids)
     if unique_ids is None:
         unique_ids = not _repeats(posts, "tweet_id")
     if not unique_ids:
@@ -114,29 +117,34 @@ def lexicon_score(
     return scored.withColumn("tweet_rating", _mean_rating("__words", by_rating)).drop("__words")
 
 
-def _score_by_join(posts: DataFrame, lexicon: DataFrame, words: Column) -> DataFrame:
-    """The same for a lexicon of any size, or one that rates a word more than once.
+def _score_by_join(
+    posts: DataFrame, lexicon: DataFrame, words: Column, unique_ids: bool | None
+) -> DataFrame:
+    """The same for a lexicon of any size, with fractions, or that rates a word more than once.
 
     Words travel without their text, counted inside their row. Equal (id, content) rows
-    share a key; adding up their words twice leaves the mean as it is.
+    share a key; adding up their words twice leaves the mean as it is. Ratings keep their
+    type: whole numbers are summed exactly. Only if an id repeats are whole texts compared.
     """
-    named = F.coalesce(F.concat(F.lit("="), F.col("tweet_id").cast("string")), F.lit("-"))
-    key = text_key(F.concat(named, F.lit("\n"), F.col("tweet_content")))
+    if unique_ids is None:
+        unique_ids = not _repeats(posts, "tweet_id")
+    if not unique_ids:
+        posts = posts.distinct()
+    key = F.struct("tweet_id", text_key(F.col("tweet_content")).alias("text"))
     keyed = posts.where(F.size(words) > 0).withColumn("__key", key)
+    whole = isinstance(lexicon.schema["rating"].dataType, T.IntegralType)
+    rating = F.col("rating").cast("bigint" if whole else "double")
     counted = keyed.select("__key", F.inline(word_counts(words))).toDF("__key", "word", "times")
     rated = lexicon.where(F.col("rating").isNotNull()).select("word", "rating")
     scores = (
         spread_join(counted, rated, "word", F.col("__key"))
         .groupBy("__key")
         .agg(
-            F.sum(F.col("rating").cast("bigint") * F.col("times")).alias("total"),
+            F.sum(rating * F.col("times")).alias("total"),
             F.sum("times").alias("found"),
         )
     )
-    texts = keyed.groupBy("__key").agg(
-        F.first("tweet_id").alias("tweet_id"), F.first("tweet_content").alias("tweet_content")
-    )
-    return texts.join(scores, "__key", "left").select(
+    return keyed.join(scores, "__key", "left").select(
         "tweet_id", "tweet_content", (F.col("total") / F.col("found")).alias("tweet_rating")
     )
 
@@ -212,7 +220,7 @@ def brand_sentiment(
 
 def _combinations(df: DataFrame, brands: Terms) -> DataFrame:
     if isinstance(brands, DataFrame):
-        names = brands.select(F.col(brands.columns[0]).alias("restaurant"))
+        names = as_column(brands).select(F.col("term").alias("restaurant")).distinct()
     else:
         names = df.sparkSession.createDataFrame([(name,) for name in brands], "restaurant string")
     every = F.explode(F.array(*[F.lit(name) for name in SENTIMENTS])).alias("sentiment")

@@ -95,34 +95,16 @@ def pairs_by_words(
         .where(F.contains(searchable(F.col(text), match), "needle"))
         .select(*columns, F.explode(repeated).alias(keyword))
     )
-    # Blank terms touch no word; there is one of them per length at most.
-    blank = needles.where(F.col("piece") == "").select("term", "needle", "copies")
-    return checked.unionByName(_blank_pairs(rows, blank, text, match, columns, keyword))
-
-
-def _blank_pairs(
-    rows: DataFrame,
-    blank: DataFrame,
-    text: str,
-    match: str,
-    columns: list[Column],
-    keyword: str,
-) -> DataFrame:
-    listed = blank.limit(1_000).collect()
-    if len(listed) == 1_000:
-        raise ValueError("a term list cannot hold a thousand different blank terms")
-    found = F.flatten(
-        F.array(
-            F.array().cast("array<string>"),
-            *[
-                F.when(
-                    F.contains(searchable(F.col(text), match), F.lit(row["needle"])),
-                    F.array_repeat(F.lit(row["term"]), row["copies"]),
-                ).otherwise(F.array().cast("array<string>"))
-                for row in listed
-            ],
-        )
+    # Blank terms touch no word: a text holds one if it has a run of blanks as long.
+    blank = needles.where(F.col("piece") == "").select(
+        F.col("term"), "copies", F.length("needle").alias("__run")
+    )
+    runs = F.transform(
+        F.regexp_extract_all(searchable(F.col(text), match), F.lit("( +)"), F.lit(1)), F.length
+    )
+    longest = F.coalesce(F.array_max(runs), F.lit(0))
+    held = rows.withColumn("__run", F.explode(F.sequence(F.lit(0), longest)))
+    blank_pairs = spread_join(held, blank, "__run", F.struct(*columns)).select(
+        *columns, F.explode(repeated).alias(keyword)
     )
-    if not listed:
-        rows = rows.limit(0)
-    return rows.select(*columns, F.explode(found).alias(keyword))
+    return checked.unionByName(blank_pairs)

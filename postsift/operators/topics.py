@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from math import ceil, sqrt
 
@@ -15,30 +16,30 @@ from pyspark.sql import functions as F
 
 from postsift.defaults import (
     CHUNK,
-    DICTIONARY_SAMPLE,
     MAX_DOC_SHARE,
     MAX_VOCABULARY,
     MIN_DOCS,
+    PASSES,
     TOPIC_WORDS,
     TOPICS,
 )
 from postsift.functions.text import clean_tokens, let, word_counts
 
-_HASH_RANGE = 1 << 40
+_log = logging.getLogger(__name__)
 
 
 def sample_rows(df: DataFrame, size: int, id: str = "id") -> DataFrame:
     """``size`` rows without replacement, the same ones on every run.
 
-    The rows with the smallest hash of their id. Nearly all of the others are filtered out
-    in the scan by a threshold that leaves a little over ``size`` rows to sort.
+    The rows with the smallest md5 of their id as text. Nearly all of the others are filtered
+    out in the scan by a threshold that leaves a little over ``size`` rows to sort.
     """
     rows = df.count()
     if rows <= size:
         return df
-    ranked = df.withColumn("__order", F.pmod(F.xxhash64(id), F.lit(_HASH_RANGE)))
+    ranked = df.withColumn("__order", F.md5(F.col(id).cast("string").cast("binary")))
     share = (size + 6 * sqrt(size) + 36) / rows
-    near = ranked.where(F.col("__order") < int(min(share, 1.0) * _HASH_RANGE))
+    near = ranked.where(F.col("__order") < f"{int(min(share, 1.0) * (16**12 - 1)):012x}")
     # The threshold leaves too few rows about once in a thousand million times.
     if share < 1.0 and near.limit(size).count() == size:
         ranked = near
@@ -82,8 +83,8 @@ def fit_topics(
     id: str = "id",
     k: int = TOPICS,
     chunk: int = CHUNK,
-    max_updates: int = 50,
-    sample: int | None = DICTIONARY_SAMPLE,
+    passes: float = PASSES,
+    sample: int | None = None,
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_DOC_SHARE,
     max_vocabulary: int = MAX_VOCABULARY,
@@ -92,16 +93,20 @@ def fit_topics(
 ) -> PipelineModel:
     """Vocabulary and LDA model, as one model that is saved and loaded together.
 
-    The vocabulary comes from a sample of texts, or from all with ``sample=None``. Training
-    makes one pass in expectation: each update draws ``chunk`` texts. There are at most
-    ``max_updates`` of them, beyond that the chunks grow, because every update has to read
-    the cached vectors once.
+    The vocabulary comes from all texts, or from a sample of ``sample`` of them. At most
+    ``max_vocabulary`` words are kept, the most frequent ones; how many were cut is logged.
+
+    An update draws ``chunk`` texts, or all if there are fewer, whatever the size of the input.
+    The optimizer draws with replacement, so a text is left out of training with a probability
+    of exp(-``passes``): 0.7 % by default.
     """
     docs = tokenized(df, text, stop)
     known = docs if sample is None else sample_rows(docs.select(id, "tokens"), sample, id)
     terms = vocabulary(known, "tokens", min_docs, max_share)
     # The model holds its words anyway. In a fixed order two fits start alike.
     kept = terms.orderBy(F.desc("docs"), F.asc("term")).limit(max_vocabulary).collect()
+    if len(kept) == max_vocabulary:
+        _log.warning("vocabulary cut to %d words of %d", max_vocabulary, terms.count())
     if not kept:
         raise ValueError("no word is found in enough texts and in few enough")
     counter = CountVectorizerModel.from_vocabulary(
@@ -110,7 +115,8 @@ def fit_topics(
     bags = counter.transform(docs.select("tokens")).select("bag")
     bags = bags.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        updates = min(max(1, ceil(bags.count() / chunk)), max_updates)
+        rows = max(1, bags.count())
+        updates = max(1, ceil(passes * rows / min(chunk, rows)))
         lda = LDA(
             featuresCol="bag",
             topicDistributionCol="topics",
@@ -118,7 +124,7 @@ def fit_topics(
             optimizer="online",
             optimizeDocConcentration=True,
             maxIter=updates,
-            subsamplingRate=1.0 / updates,
+            subsamplingRate=min(1.0, chunk / rows),
             seed=seed,
         ).fit(bags)
     finally:

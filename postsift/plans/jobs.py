@@ -7,6 +7,8 @@ searched once for both.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -206,13 +208,14 @@ def topic_job(
     k: int = 20,
     drop_empty: bool = True,
     on_error: str = "drop",
+    stop: Sequence[str] | None = None,
     **fit_options,
 ) -> None:
     """Posts per topic, ``topic words<TAB>count``; the model is saved if a path is given."""
     posts = _posts(spark, tweets, on_error).select("id", "content")
-    model = topic_ops.fit_topics(posts, k=k, **fit_options)
+    model = topic_ops.fit_topics(posts, k=k, stop=stop, **fit_options)
     if model_path is not None:
         topic_ops.save_topics(model, model_path)
     sinks.write_ranked(
-        topic_ops.topic_counts(posts, model, drop_empty=drop_empty), out, "topic_words"
+        topic_ops.topic_counts(posts, model, drop_empty=drop_empty, stop=stop), out, "topic_words"
     )

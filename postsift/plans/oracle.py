@@ -107,6 +107,23 @@ terms AS (
 )
 """
 
+# More terms than travel inside a plan, so that the way of large tables is taken.
+_LONG_TABLE = """
+listed AS (
+    SELECT p_name || ' ' || p_partkey AS keyword, p_partkey % 2 AS side FROM part
+    UNION ALL SELECT c_name, c_custkey % 2 FROM customer
+    UNION ALL SELECT text, item_id % 2 FROM benchmark
+    UNION ALL SELECT * FROM (VALUES ('idiot', 0), ('clown ', 1), ('license', 0), ('Scum', 1)) AS more(keyword, side)
+)
+"""
+
+_KNOWN_WORDS = """
+known AS (
+    SELECT token FROM cleaned GROUP BY token
+    HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) <= 0.5 * (SELECT count(*) FROM posts)
+)
+"""
+
 _RULE = f"""
 CASE WHEN {_any(q.POSITIVE)} THEN 'positive'
      WHEN {_any(q.NEGATIVE)} THEN 'negative' ELSE 'neutral' END
@@ -259,6 +276,9 @@ def oracle_sql() -> dict[str, str]:
         "state_groups": f"""{_with(_violent(_second("fullName"), True))}
             SELECT state, count(*) OVER (PARTITION BY state) AS cantidad_tweets, {rows}
             FROM found""",
+        "state_groups_tweets": f"""{_with(_violent(_second("fullName"), True))}
+            SELECT state, count(*) OVER (PARTITION BY state) AS cantidad_tweets, {rows}
+            FROM (SELECT DISTINCT state, {rows} FROM found)""",
         "state_count_on_rows": f"""{_with()}
             SELECT id, state, count(*) OVER (PARTITION BY state) AS tweet_count
             FROM (SELECT id, {_second("fullName")} AS state FROM posts)""",
@@ -266,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT tweet_id, tweet_content, tweet_rating FROM scored""",
         "lexicon_score_join": f"""{_with()}
             SELECT id AS tweet_id, content AS tweet_content,
-                   avg(length(word) - 6) AS tweet_rating
+                   round(avg(length(word) - 6), 12) AS tweet_rating
             FROM (SELECT id, content, unnest({_SPACES}) AS word FROM posts)
             GROUP BY id, content""",
         "lexicon_label": _label("negative"),
@@ -339,7 +359,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "json_bad_lines": """
             SELECT event_id AS id, 'good' AS kind FROM events
+            UNION ALL SELECT event_id, 'bad' FROM events
             UNION ALL SELECT event_id, 'bad' FROM events""",
+        "json_same_rows": """
+            SELECT used, count(*) AS rows FROM events, (VALUES ('id'), ('likeCount'), ('none')) AS u(used)
+            WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 GROUP BY used""",
         "csv_roundtrip": f"""{_with()}
             SELECT id, {_LINE} AS content, likeCount, fullName FROM posts""",
         "delimited_roundtrip": f"{_with()} SELECT id, {_LINE} AS content FROM posts",
@@ -357,5 +381,25 @@ def oracle_sql() -> dict[str, str]:
                AND count(DISTINCT id) <= 0.5 * (SELECT count(*) FROM posts)""",
         "bag_of_words": f"""{_with(_TOKENS)}
             SELECT id, token AS term, count(*) AS count FROM cleaned GROUP BY id, token""",
+        "lexicon_score_fractions": f"""{_with()}
+            SELECT id AS tweet_id, round(avg(length(word) / 2), 12) AS tweet_rating
+            FROM (SELECT id, content, unnest({_SPACES}) AS word FROM posts)
+            GROUP BY id, content""",
+        "stance_overlap_table": f"""{_with(_LONG_TABLE)}
+            SELECT id, sum(CAST(side = 0 AS INT)) AS pro, sum(CAST(side = 1 AS INT)) AS anti,
+                   bool_or(side = 0) AND bool_or(side = 1) AS overlap
+            FROM posts JOIN listed ON {_contains("content")} GROUP BY id""",
+        "censor_table_except": f"""{_with(_LONG_TABLE)}
+            SELECT DISTINCT {rows} FROM posts p
+            WHERE NOT EXISTS (SELECT 1 FROM listed WHERE {_contains("content")})""",
+        "censor_table_anti": f"""{_with(_LONG_TABLE)}
+            SELECT id FROM posts p
+            WHERE NOT EXISTS (SELECT 1 FROM listed WHERE {_contains("content")})""",
+        "sample_docs": f"{_with()} SELECT id, username FROM posts ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 100",
+        "topic_kept_ids": f"""{_with(_TOKENS, _KNOWN_WORDS)}
+            SELECT DISTINCT id FROM cleaned JOIN known USING (token)""",
+        "topic_totals": f"""{_with(_TOKENS, _KNOWN_WORDS)}
+            SELECT (SELECT count(DISTINCT id) FROM cleaned JOIN known USING (token)) AS kept,
+                   (SELECT count(*) FROM posts) AS every""",
         "limit_docs": f"{_with()} SELECT id, username FROM posts ORDER BY id LIMIT 10",
     }

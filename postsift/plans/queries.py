@@ -192,6 +192,42 @@ def stance_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("id", "pro", "anti", "overlap")
 
 
+def _long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More terms than travel inside a plan, each of one of two sides."""
+
+    def part(name: str, term: str, key: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.expr(term).alias("keyword"), (F.col(key) % 2).alias("side"))
+
+    rows = [("idiot", 0), ("clown ", 1), ("license", 0), ("Scum", 1)]
+    listed = spark.createDataFrame(rows, "keyword string, side bigint")
+    for name, term, key in (
+        ("part", "concat(p_name, ' ', p_partkey)", "p_partkey"),
+        ("customer", "c_name", "c_custkey"),
+        ("benchmark", "text", "item_id"),
+    ):
+        listed = listed.unionByName(part(name, term, key))
+    return listed
+
+
+@_query
+def stance_overlap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = _long_table(spark, sf_dir)
+    pro, anti = listed.where("side = 0").drop("side"), listed.where("side = 1").drop("side")
+    marked = keywords.stance_overlap(posts(spark, sf_dir), pro, anti)
+    return marked.select("id", "pro", "anti", "overlap")
+
+
+@_query
+def censor_table_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = posts(spark, sf_dir).select(*POST_COLUMNS)
+    return keywords.censor(rows, _long_table(spark, sf_dir)).kept
+
+
+@_query
+def censor_table_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.censor(posts(spark, sf_dir), _long_table(spark, sf_dir), "anti").kept.select("id")
+
+
 @_query
 def stance_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.rank_users(posts(spark, sf_dir), PRO)
@@ -248,6 +284,13 @@ def state_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("state", "cantidad_tweets", F.inline("tweets"))
 
 
+@_query
+def state_groups_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested form by default: one entry per different post."""
+    groups = places.state_groups(posts(spark, sf_dir), VIOLENT)
+    return groups.select("state", "cantidad_tweets", F.inline("tweets"))
+
+
 @_query
 def state_count_on_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = posts(spark, sf_dir).select("id", state_of(F.col("fullName")).alias("state"))
@@ -272,7 +315,21 @@ def lexicon_score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = posts(spark, sf_dir)
     words = flat.select(F.explode(tokens(F.col("content"))).alias("word")).distinct()
     lexicon = words.select("word", (F.length("word") - 6).cast("int").alias("rating"))
-    return sentiment.lexicon_score(flat, lexicon)
+    return _rounded(sentiment.lexicon_score(flat, lexicon, unique_ids=True))
+
+
+def _rounded(scored: DataFrame) -> DataFrame:
+    """Engines may differ in the last bit of a quotient."""
+    return scored.withColumn("tweet_rating", F.round("tweet_rating", 12))
+
+
+@_query
+def lexicon_score_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings with a fraction, more words than are looked up inside a row."""
+    flat = posts(spark, sf_dir)
+    words = flat.select(F.explode(tokens(F.col("content"))).alias("word")).distinct()
+    lexicon = words.select("word", (F.length("word") / 2).alias("rating"))
+    return _rounded(sentiment.lexicon_score(flat, lexicon)).select("tweet_id", "tweet_rating")
 
 
 @_query
@@ -452,7 +509,7 @@ def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def json_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record once whole and once cut off: the cut ones are told apart and dropped."""
+    """Every record once whole, once cut off and once with a wrong type: only the first stays."""
     folder = fresh_folder(spark)
     whole = table(spark, sf_dir, "events").select(
         F.to_json(
@@ -460,7 +517,10 @@ def json_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("value")
     )
     cut = whole.select(F.expr("substring(value, 1, length(value) - 1)").alias("value"))
-    whole.unionByName(cut).write.text(folder)
+    typed = table(spark, sf_dir, "events").select(
+        F.format_string('{"id":%d,"likeCount":"many"}', "event_id").alias("value")
+    )
+    whole.unionByName(cut).unionByName(typed).write.text(folder)
     lines = sources.read_lines(spark, folder)
     good = sources.read_tweets(spark, folder).select("id", F.lit("good").alias("kind"))
     bad = sources.bad_lines(lines).select(
@@ -470,6 +530,24 @@ def json_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+@_query
+def json_same_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of a file with bad lines are read, by the columns that are used."""
+    folder = fresh_folder(spark)
+    lines = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 5 == 0, F.format_string('{"id":%d,"likeCount":"many"}', "event_id"))
+        .when(F.col("event_id") % 7 == 0, F.format_string('{"id":%d,', "event_id"))
+        .otherwise(F.format_string('{"id":%d,"likeCount":3}', "event_id")).alias("value")
+    )
+    lines.write.text(folder)
+    tweets = sources.read_tweets(spark, folder)
+    one = tweets.select("id").agg(F.count("*").alias("rows"))
+    other = tweets.select("likeCount").agg(F.count("*").alias("rows"))
+    every = tweets.agg(F.count("*").alias("rows"))
+    named = [df.select(F.lit(name).alias("used"), "rows") for name, df in (("id", one), ("likeCount", other), ("none", every))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @_query
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)
@@ -569,6 +647,28 @@ def limit_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).select("id", "username").orderBy("id").limit(10)
 
 
+@_query
+def topic_kept_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a topic, by a model that was saved and loaded: those with a known word."""
+    flat = posts(spark, sf_dir).select("id", "content")
+    folder = fresh_folder(spark)
+    topics.save_topics(topics.fit_topics(flat, k=3, passes=1, stop=STOP), folder)
+    return topics.assign_topics(flat, topics.load_topics(folder), stop=STOP).select("id")
+
+
+@_query
+def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts counted under a topic, without and with those that hold no known word."""
+    flat = posts(spark, sf_dir).select("id", "content")
+    model = topics.fit_topics(flat, k=3, passes=1, stop=STOP)
+    kept = topics.topic_counts(flat, model, stop=STOP).agg(F.sum("count").alias("kept"))
+    every = topics.topic_counts(flat, model, drop_empty=False, stop=STOP).agg(F.sum("count").alias("every"))
+    rows = kept.select("kept", F.lit(None).cast("bigint").alias("every")).unionByName(
+        every.select(F.lit(None).cast("bigint").alias("kept"), "every")
+    )
+    return rows.agg(F.max("kept").alias("kept"), F.max("every").alias("every"))
+
+
 @_query
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = posts(spark, sf_dir).select("id", "content")
@@ -580,7 +680,7 @@ def topic_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a model that was saved and loaded again."""
     flat = posts(spark, sf_dir).select("id", "content")
     folder = fresh_folder(spark)
-    topics.save_topics(topics.fit_topics(flat, k=5, sample=None), folder)
+    topics.save_topics(topics.fit_topics(flat, k=5), folder)
     assigned = topics.assign_topics(flat, topics.load_topics(folder), drop_empty=False)
     return assigned.select("id", "topic_id")
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsift.schemas import TWEET
 
-_MODES = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}
+_MODES = {"fail": "FAILFAST", "drop": "PERMISSIVE"}
 _BAD = "_corrupt_record"
 
 
@@ -20,10 +20,20 @@ def read_tweets(
     on_error: str = "drop",
     schema: T.StructType = TWEET,
 ) -> DataFrame:
-    """One row per line. A malformed line is dropped, or fails the job with ``"fail"``."""
+    """One row per line. A malformed line is dropped, or fails the job with ``"fail"``.
+
+    Whether a line is malformed is decided on the whole record, whatever columns are used later:
+    broken JSON, and a field of another type than the schema's, drop the line.
+    """
     if on_error not in _MODES:
         raise ValueError(f"unknown error rule: {on_error}")
-    return spark.read.schema(schema).option("mode", _MODES[on_error]).json(path)
+    if on_error == "fail":
+        return spark.read.schema(schema).option("mode", _MODES[on_error]).json(path)
+    # Blank lines hold no record.
+    lines = read_lines(spark, path).where(F.trim("value") != "")
+    record = _checked(F.col("value"), schema).alias("record")
+    fields = [F.col("record").getField(name).alias(name) for name in schema.names]
+    return lines.select(record).where(F.col("record").getField(_BAD).isNull()).select(*fields)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -38,11 +48,15 @@ def parse_lines(
     return lines.select(F.from_json(F.col(value), schema).alias("record")).select("record.*")
 
 
+def _checked(value: Column, schema: T.StructType) -> Column:
+    """A record with one more field, which holds the text if any field can't be read."""
+    checked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    return F.from_json(value, checked, {"columnNameOfCorruptRecord": _BAD})
+
+
 def bad_lines(lines: DataFrame, schema: T.StructType = TWEET, value: str = "value") -> DataFrame:
     """The lines that are not valid JSON of the schema, to count or to look at."""
-    checked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    record = F.from_json(F.col(value), checked, {"columnNameOfCorruptRecord": _BAD})
-    return lines.where(record[_BAD].isNotNull())
+    return lines.where(_checked(F.col(value), schema).getField(_BAD).isNotNull())
 
 
 def flatten_tweets(df: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from postsift.defaults import BROADCAST_BYTES
 def fresh_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which a cluster has to set.
 
-    Only a session without that setting, as in tests, gets a temporary folder.
+    Only a session that runs in one process, as in tests, gets a temporary folder without it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         shared = tempfile.mkdtemp(prefix="postsift-")
     return f"{shared.rstrip('/')}/postsift-{uuid.uuid4().hex}"
 

@@ -64,5 +64,5 @@ def test_group_counts_need_no_window(posts):
 def test_many_states_are_joined_in_parts(posts, monkeypatch):
     columns = ("state", "cantidad_tweets", "content")
     copied = rows(places.state_members(posts, WORDS), *columns)
-    monkeypatch.setattr(places, "fits_in_memory", lambda df: False)
+    monkeypatch.setattr(places, "FEW_GROUPS", 0)
     assert rows(places.state_members(posts, WORDS), *columns) == copied

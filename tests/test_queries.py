@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from postsift.plans import oracle
+from postsift.plans import queries as registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.queries(), oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="tables are not here")
 
@@ -38,7 +40,8 @@ def test_query(spark, database, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

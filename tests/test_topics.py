@@ -82,5 +82,5 @@ def test_saved_models_work_alike(docs, model, tmp_path):
 
 
 def test_many_updates(docs):
-    model = topics.fit_topics(docs, k=2, chunk=10, max_updates=3, sample=None, min_docs=1, max_share=1.0)
+    model = topics.fit_topics(docs, k=2, chunk=10, passes=1, min_docs=1, max_share=1.0)
     assert topics.topic_labels(docs, model).count() == 2
