@@ -5,10 +5,14 @@ shifted by one place per coordinate, so that two permutations give all coordinat
 joined to bands, and documents with an equal band are candidates.
 
 Documents of equal sets are one class and are linked without looking further. Within a band bucket
-no pairs are listed: in each round a few centres of the bucket, those with most company over all
-buckets, are compared with its members, then leave it. Members that are by then in one component
-need no comparing. Rounds go on until every two members of a bucket are in one component or have
-been compared, so a bucket of any size is treated whole and each round's rows grow with its members.
+no pairs are listed. First every bucket has one centre, the member with most company over all
+buckets, and all members are compared with it. What is not in one component by then can be linked
+in two ways only. Two members that share no shingle outside the centre c share at most
+min(|x and c|, |y and c|) shingles, which is rarely enough; and those that share one meet in a
+bucket of their own for that shingle. Both kinds of buckets are gone through in rounds: some members
+are compared with all others that pass, then leave. Rounds go on until every two members of a bucket
+are in one component, have been compared, or can't be linked. So a bucket of any size is treated
+whole, and one large group of near copies costs few comparisons more than it has members.
 
 A pair at the threshold shares a band of 40 with a probability of 0.999995.
 """
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.storage import written
@@ -32,9 +36,9 @@ from .components import components
 BANDS = 40
 ROWS = 6
 PERCENT = 80
-# Centres that a bucket gets in the first round at most, and how many times more in each further
-# one. Few are left by then, and a bucket of n that are not linked takes log n rounds.
-SLOTS = 4
+# Members of a bucket that are compared with the others in the first round, at most, and how many
+# times more in each further one: a bucket of n that are not linked takes log n rounds.
+SLOTS = 64
 MORE_SLOTS = 8
 # Shingles that are permuted at once.
 _BLOCK = 2048
@@ -142,52 +146,110 @@ def _verify(percent: int):
     return verify
 
 
-def _linked(docs: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, percent: int, slots: int) -> DataFrame:
+def _compare(percent: int):
+    """Per pair of a centre and a member: linked, shingles shared, the member's other shingles."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pairs in batches:
+            linked, shared, beyond = [], [], []
+            for a, b in zip(pairs["set_a"], pairs["set_b"], strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                other = np.setdiff1d(y, x, assume_unique=True)
+                both = len(y) - len(other)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                shared.append(both)
+                beyond.append(other.astype(np.int64))
+            yield pd.DataFrame(
+                {"centre": pairs["a"], "node": pairs["b"], "linked": linked, "shared": shared, "beyond": beyond}
+            )
+
+    return compare
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
+    )
+
+
+def _best(*columns: str) -> Column:
+    return F.min(F.struct((-F.col("company")).alias("order"), *columns)).alias("best")
+
+
+def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Members of those buckets that hold more than one component."""
+    ends = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return labelled.join(ends.where("low < high").select("key"), "key", "left_semi")
+
+
+def _roots(found: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    """Components with the links just found."""
+    if found.isEmpty():
+        return roots
+    return components(found if roots is None else found.union(roots.select("node", "root")))
+
+
+def _linked(docs: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, percent: int, slots: int) -> DataFrame | None:
     """(node, root) of the classes that are linked with others; a class's node is its least id."""
     keys = classes.select(F.col("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keys.join(crowded, "key").select("key", "node", "size", "n"))
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = written(members.join(company, "node").select("key", "node", "size", "company"))
-    nodes = company.select("node")
-    texts = docs.select("doc_id", whole("text").alias("text")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    texts = docs.select("doc_id", whole("text").alias("text")).join(
+        company.select("node"), F.col("doc_id") == F.col("node"), "left_semi"
+    )
     sets = written(texts.mapInPandas(_set_rows(n), "node long, shingles binary"))
-    links, roots = None, None
+
+    centres = members.groupBy("key").agg(_best("node")).select("key", F.col("best.node").alias("centre"))
+    members = written(members.join(centres, "key").where("node <> centre"))
+    first = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).dropDuplicates()
+    compared = written(_with_sets(first, sets).mapInPandas(
+        _compare(percent), "centre long, node long, linked boolean, shared int, beyond array<long>"
+    ))
+    roots = _roots(compared.where("linked").select("centre", "node"), None)
+    left = written(_mixed(_labelled(members, roots)).select("key", "node", "size", "company", "centre"))
+    by_centre = left.join(compared.select("centre", "node", "shared"), ["centre", "node"])
+    by_shingle = (
+        left.select("centre", "node", "size", "company").dropDuplicates()
+        .join(compared.select("centre", "node", "beyond"), ["centre", "node"])
+        .withColumn("shingle", F.explode("beyond"))
+        .select(
+            F.xxhash64("centre", "shingle").alias("key"), "node", "size", "company",
+            F.lit(None).cast("int").alias("shared"),
+        )
+    )
+    members = by_centre.select("key", "node", "size", "company", "shared").unionByName(by_shingle)
     while True:
-        if roots is not None:
-            labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            labelled = members.withColumn("root", F.col("node"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        open_members = written(labelled.join(mixed.select("key"), "key", "left_semi"))
+        open_members = written(_mixed(_labelled(members, roots)))
         if open_members.isEmpty():
-            break
+            return roots
         slot = F.pmod(F.xxhash64("node"), F.lit(slots))
         slots *= MORE_SLOTS
-        centres = (
-            open_members.groupBy("key", slot.alias("slot"))
-            .agg(F.min(F.struct((-F.col("company")).alias("c"), "node", "size", "root")).alias("best"))
-            .select("key", F.col("best.node").alias("centre"), F.col("best.size").alias("centre_size"), F.col("best.root").alias("centre_root"))
+        centres = written(
+            open_members.groupBy("key", slot.alias("slot")).agg(_best("node", "size", "root", "shared"))
+            .select("key", *[F.col(f"best.{x}").alias(f"centre_{x}") for x in ("node", "size", "root", "shared")])
+        )
+        most = F.least("shared", "centre_shared")
+        enough = F.col("shared").isNull() | F.col("centre_shared").isNull() | (
+            (100 + percent) * most >= percent * (F.col("size") + F.col("centre_size"))
         )
-        centres = written(centres)
+        similar = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
         pairs = (
-            open_members.join(centres, "key")
-            .where("root <> centre_root")
-            .where(100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size"))
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+            open_members.join(centres, "key").where("root <> centre_root").where(similar).where(enough)
+            .select(F.least("node", "centre_node").alias("a"), F.greatest("node", "centre_node").alias("b"))
             .dropDuplicates()
         )
-        full = (
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-        )
-        found = written(full.mapInPandas(_verify(percent), "a long, b long"))
-        if not found.isEmpty():
-            links = found if roots is None else found.union(roots.select("node", "root"))
-            roots = components(links)
-        used = centres.select("key", F.col("centre").alias("node"))
+        found = written(_with_sets(pairs, sets).mapInPandas(_verify(percent), "a long, b long"))
+        roots = _roots(found, roots)
+        used = centres.select("key", F.col("centre_node").alias("node"))
         members = open_members.drop("root").join(used, ["key", "node"], "left_anti")
-    return roots
 
 
 def near_duplicates(
