@@ -7,9 +7,11 @@ joined to bands, and documents with an equal band are candidates.
 Documents of equal sets are one class and are linked without looking further. Within a band bucket
 no pairs are listed. First every bucket has one centre, the member with most company over all
 buckets, and all members are compared with it. What is not in one component by then can be linked
-in two ways only. Two members that share no shingle outside the centre c share at most
-min(|x and c|, |y and c|) shingles, which is rarely enough; and those that share one meet in a
-bucket of their own for that shingle. Both kinds of buckets are gone through in rounds: some members
+in two ways only. Put a member's shingles outside the centre first, in order of their hashes, and
+the others behind them: two sets at the threshold share one of their first |x| - ceil(0.8 |x|) + 1
+shingles. If that one is outside the centre, the two meet in a bucket of their own for it; if not,
+both hold at least 0.8 of their shingles in common with the centre, and they stay in the centre's
+bucket. Both kinds of buckets are gone through in rounds: some members
 are compared with all others that pass, then leave. Rounds go on until every two members of a bucket
 are in one component, have been compared, or can't be linked. So a bucket of any size is treated
 whole, and one large group of near copies costs few comparisons more than it has members.
@@ -147,7 +149,10 @@ def _verify(percent: int):
 
 
 def _compare(percent: int):
-    """Per pair of a centre and a member: linked, shingles shared, the member's other shingles."""
+    """Per pair of a centre and a member: linked, shingles shared, the member's first other shingles.
+
+    As many as two sets at the threshold need to share one of, in order of their hashes.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pairs in batches:
@@ -158,7 +163,8 @@ def _compare(percent: int):
                 both = len(y) - len(other)
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 shared.append(both)
-                beyond.append(other.astype(np.int64))
+                first = len(y) + (-percent * len(y)) // 100 + 1
+                beyond.append(other[:first].astype(np.int64))
             yield pd.DataFrame(
                 {"centre": pairs["a"], "node": pairs["b"], "linked": linked, "shared": shared, "beyond": beyond}
             )
@@ -215,7 +221,9 @@ def _linked(docs: DataFrame, classes: DataFrame, n: int, bands: int, rows: int,
     ))
     roots = _roots(compared.where("linked").select("centre", "node"), None)
     left = written(_mixed(_labelled(members, roots)).select("key", "node", "size", "company", "centre"))
-    by_centre = left.join(compared.select("centre", "node", "shared"), ["centre", "node"])
+    by_centre = left.join(
+        compared.select("centre", "node", "shared"), ["centre", "node"]
+    ).where(100 * F.col("shared") >= percent * F.col("size"))
     by_shingle = (
         left.select("centre", "node", "size", "company").dropDuplicates()
         .join(compared.select("centre", "node", "beyond"), ["centre", "node"])
