@@ -19,6 +19,7 @@ from . import (
     op08_warc,
     op09_secret_scans,
     op10_quality_rules,
+    op11_merkle_manifest,
 )
 from .common import bucket_of, documents, labels
 
@@ -113,6 +114,11 @@ def op10_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality_rules.quality_rules(docs, ratios)
 
 
+def op11_merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proven = op11_merkle_manifest.verify_rows(documents(spark, sf_dir), bucket_of("doc_id", 3) == 0)
+    return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -125,6 +131,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules_query,
+        "op11_merkle_manifest": op11_merkle_manifest_query,
     }
 
 
@@ -136,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": _WARC_SQL,
         "op9_secret_scans": op09_secret_scans.sql(),
         "op10_quality_rules": op10_quality_rules.sql(),
+        "op11_merkle_manifest": op11_merkle_manifest.sql(),
     }
