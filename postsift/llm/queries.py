@@ -20,6 +20,7 @@ from . import (
     op09_secret_scans,
     op10_quality_rules,
     op11_merkle_manifest,
+    op13_periodic_runs,
 )
 from .common import bucket_of, documents, labels
 
@@ -119,6 +120,13 @@ def op11_merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    found = op13_periodic_runs.periodic_runs(docs, text=op13_periodic_runs.looped(F.col("text"), number))
+    return op13_periodic_runs.digests(found)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -132,6 +140,7 @@ def queries() -> dict[str, Query]:
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules_query,
         "op11_merkle_manifest": op11_merkle_manifest_query,
+        "op13_periodic_runs": op13_periodic_runs_query,
     }
 
 
