@@ -35,13 +35,14 @@ class Manifest:
     """leaves: place (of the group), rank, and the columns of the leaf table.
     records: per tree and height a table (digest, children), children being their joined digests.
     groups: place, the group's column, n. roots: place, height, digest of each group's subroot.
-    root: hexadecimal, None for an empty table."""
+    top: digest of the root, no row for an empty table; root: the same, hexadecimal, or None."""
 
     leaves: DataFrame
     groups: DataFrame
     roots: DataFrame
     group_records: list[DataFrame]
     top_records: list[DataFrame]
+    top: DataFrame
     root: str | None
 
 
@@ -148,7 +149,7 @@ def build_manifest(leaves: DataFrame, *, group: str = "lang") -> Manifest:
     root = top.select(_hex(F.col("digest")).alias("root")).first()
     return Manifest(
         ranked.drop("size"), groups.withColumnRenamed("label", group), roots.withColumnRenamed("tree", "place"),
-        group_records, top_records, root["root"] if root else None,
+        group_records, top_records, top.select("digest"), root["root"] if root else None,
     )
 
 
@@ -181,7 +182,6 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     ``reached`` is the digest that the descent found at the row's place. ``path`` leads from leaf to
     root: per level the joined digests to the left and to the right of the node, both possibly empty.
     """
-    spark = manifest.leaves.sparkSession
     whole = requests is None
     requests = manifest.leaves if whole else requests
 
@@ -194,10 +194,8 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
 
     none = F.lit(0).cast("bigint")
     steps = len(manifest.top_records)
-    reached = spark.range(1 if manifest.root else 0).select(
-        none.alias("tree"), none.alias("rank"), F.unhex(F.lit(manifest.root or "")).alias("digest"),
-        F.array().cast("array<struct<left:binary,right:binary>>").alias("path"),
-    )
+    nothing = F.array().cast("array<struct<left:binary,right:binary>>")
+    reached = manifest.top.select(none.alias("tree"), none.alias("rank"), "digest", nothing.alias("path"))
     for height in range(steps, 0, -1):
         lower = F.shiftright("place", BITS * (height - 1))
         reached = wanted(_descend(reached, manifest.top_records[height - 1]), none, lower)

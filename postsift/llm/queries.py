@@ -20,6 +20,7 @@ from . import (
     op09_secret_scans,
     op10_quality_rules,
     op11_merkle_manifest,
+    op12_pii_crf,
     op13_periodic_runs,
 )
 from .common import bucket_of, documents, labels
@@ -120,6 +121,10 @@ def op11_merkle_manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_pii_crf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_pii_crf.find_personal_data(documents(spark, sf_dir)).drop("base", "added")
+
+
 def op13_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -140,6 +145,7 @@ def queries() -> dict[str, Query]:
         "op9_secret_scans": op9_secret_scans,
         "op10_quality_rules": op10_quality_rules_query,
         "op11_merkle_manifest": op11_merkle_manifest_query,
+        "op12_pii_crf": op12_pii_crf_query,
         "op13_periodic_runs": op13_periodic_runs_query,
     }
 
