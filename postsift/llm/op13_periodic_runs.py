@@ -32,7 +32,7 @@ from .common import whole, words_of
 
 MIN_LENGTH = 12  # words of the shortest run
 DIRECT = 16  # shorter periods are found by comparing at every lag; a power of two
-BLOCK_WORDS = 400_000  # words compared at once; a longer text is a block of its own
+BLOCK_WORDS = 100_000  # words compared at once; a longer text is a block of its own
 
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
@@ -203,10 +203,10 @@ def collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> list[byte
     return [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
 
 
-def _blocks(texts: Iterable[bytes]) -> Iterator[list[list[bytes]]]:
+def _blocks(texts: Iterable[pa.Scalar]) -> Iterator[list[list[bytes]]]:
     block, size = [], 0
     for text in texts:
-        block.append(text.split())  # of bytes: blank, tab, newline, and the three signs after it
+        block.append(text.as_py().split())  # of bytes: blank, tab, newline, and the three signs after it
         size += len(block[-1]) + 1
         if size >= BLOCK_WORDS:
             yield block
@@ -215,17 +215,17 @@ def _blocks(texts: Iterable[bytes]) -> Iterator[list[list[bytes]]]:
         yield block
 
 
-def _answer(texts: Iterable[bytes], min_length: int) -> list[pa.Array]:
-    sizes, runs, left = [], [], []
-    for block in _blocks(texts):
-        found = runs_of(block, min_length)
-        sizes += map(len, block)
-        runs += found
-        left += [b" ".join(collapsed(words, own)) for words, own in zip(block, found, strict=True)]
-    names = ["start", "length", "period"]
-    kind = pa.list_(pa.struct([(name, pa.int64()) for name in names]))
-    rows = [[dict(zip(names, run, strict=True)) for run in own] for own in runs]
-    return [pa.array(sizes, pa.int64()), pa.array(rows, kind), pa.array(left, pa.binary())]
+def _answer(block: list[list[bytes]], min_length: int) -> list[pa.Array]:
+    found = runs_of(block, min_length)
+    numbers = np.array([number for own in found for run in own for number in run], np.int64).reshape(-1, 3)
+    runs = pa.StructArray.from_arrays(list(map(pa.array, numbers.T.copy())), ["start", "length", "period"])
+    offsets = np.cumsum([0, *map(len, found)])
+    left = (b" ".join(collapsed(words, own)) for words, own in zip(block, found, strict=True))
+    return [
+        pa.array(list(map(len, block)), pa.int64()),
+        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs),
+        pa.array(left, pa.binary(), size=len(block)),
+    ]
 
 
 def periodic_runs(
@@ -252,9 +252,11 @@ def periodic_runs(
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            new = _answer((value.as_py() for value in texts), min_length)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
+            done = 0
+            for block in _blocks(batch.column(batch.num_columns - 1)):
+                same = batch.slice(done, len(block)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*same, *_answer(block, min_length)], names)
+                done += len(block)
 
     done = chosen.mapInArrow(answered, schema)
     return done.select("doc_id", *keep, "n_words", "runs", F.col("collapsed_bytes").cast("string").alias("collapsed"))
