@@ -468,12 +468,13 @@ def find_personal_data(docs: DataFrame, *, keep: Sequence[str] = (), max_words:
     """
     scanned = written(scan_words(docs, keep))
     found = label_words(scanned, fit_field(scanned, max_words=max_words), keep)
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
     return found.select(
         "doc_id", *keep,
-        *[
-            F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-            for k, kind in enumerate(KINDS)
-        ],
+        *[number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.concat("base", "added")).alias("spans"), "base", "added",
     )
