@@ -26,6 +26,9 @@ MIN_DOCS = 5
 MAX_DOC_SHARE = 0.5
 MAX_VOCABULARY = 100_000
 
+#: How often the topics of a text are adjusted to its words.
+FOLD_STEPS = 8
+
 #: A term list travels inside the plan only up to these sizes; larger lists are joined.
 INLINE_TERMS = 2_000
 INLINE_BYTES = 256 * 1024

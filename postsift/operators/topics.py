@@ -1,21 +1,27 @@
-"""Topics: vocabulary, bags of words, LDA, dominant topic, posts per topic."""
+"""Topics: vocabulary, bags of words, topic model, dominant topic, posts per topic.
+
+The model is latent Dirichlet allocation, fitted by expectation maximization of its posterior mode
+over all texts: every pass reads every bag of words once, so nothing is left out or drawn twice, and
+what a pass does with a text does not depend on how many there are. Only sums per word and topic
+leave a task. They, the model and what is sent to the executors are bounded by the vocabulary.
+"""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from math import ceil, sqrt
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsift.defaults import (
     CHUNK,
+    FOLD_STEPS,
     MAX_DOC_SHARE,
     MAX_VOCABULARY,
     MIN_DOCS,
@@ -23,7 +29,8 @@ from postsift.defaults import (
     TOPIC_WORDS,
     TOPICS,
 )
-from postsift.functions.text import clean_tokens, let, word_counts
+from postsift.functions.text import clean_tokens, word_counts
+from postsift.storage import written
 
 _log = logging.getLogger(__name__)
 
@@ -77,6 +84,134 @@ def bag_of_words(docs: DataFrame, id: str = "id", tokens: str = "tokens") -> Dat
     return docs.select(id, F.inline(word_counts(F.col(tokens))))
 
 
+#: Bags are worked on in blocks of about so many (text, word) entries.
+BLOCK_ENTRIES = 200_000
+
+#: Words of a topic are ranked by their weight to so many decimals, then by name.
+WEIGHT_DECIMALS = 9
+
+
+@dataclass(frozen=True)
+class TopicModel:
+    """Topics over known words.
+
+    ``weights[t, w]`` is the share of word w in topic t, ``mass[t]`` the number of words of the
+    training texts that went to topic t. A text's share of a topic is smoothed by ``smoothing``
+    words; ``steps`` is how often its shares are adjusted, from equal ones on.
+    """
+
+    words: tuple[str, ...]
+    weights: np.ndarray
+    mass: np.ndarray
+    smoothing: float
+    steps: int = FOLD_STEPS
+
+
+def first_weights(k: int, size: int, seed: int) -> np.ndarray:
+    """Weights to start from: whole-number noise by word and topic, the same everywhere."""
+    word, topic = np.arange(1, size + 1, dtype=np.int64), np.arange(1, k + 1, dtype=np.int64)
+    noise = (word[None, :] * (2 * topic[:, None] + 1) * 7919 + topic[:, None] * seed * 104729) % 65521
+    raw = 0.5 + (noise * noise % 65521) / 65521
+    return raw / raw.sum(axis=1, keepdims=True)
+
+
+@dataclass(frozen=True)
+class _Bags:
+    """Words and counts of several texts; ``starts`` is where each text's entries begin."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+
+    def blocks(self, texts: int) -> Iterator[_Bags]:
+        """In parts of at most ``texts`` texts and about ``BLOCK_ENTRIES`` entries."""
+        ends = np.append(self.starts[1:], len(self.words))
+        low = 0
+        while low < len(self.starts):
+            fit = int(np.searchsorted(ends, self.starts[low] + BLOCK_ENTRIES, "right"))
+            high = min(max(fit, low + 1), low + texts)
+            part = slice(self.starts[low], ends[high - 1])
+            yield _Bags(self.words[part], self.counts[part], self.starts[low:high] - self.starts[low])
+            low = high
+
+
+def _bags_of(tokens: pa.Array, words: pa.Array) -> tuple[_Bags, np.ndarray]:
+    """Bags of the texts with a known word, and which texts these are."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(tokens), dtype=np.int64), sizes)
+    found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=words), -1)
+    number = found.to_numpy(zero_copy_only=False).astype(np.int64)
+    key = text_of[number >= 0] * max(len(words), 1) + number[number >= 0]
+    key, counts = np.unique(key, return_counts=True)
+    texts, starts = np.unique(key // max(len(words), 1), return_index=True)
+    return _Bags(key % max(len(words), 1), counts, starts), texts
+
+
+def _adjusted(bags: _Bags, weights: np.ndarray, smoothing: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Topic sizes of each text, and how each entry's words are dealt to the topics."""
+    text_of = np.repeat(np.arange(len(bags.starts)), np.diff(np.append(bags.starts, len(bags.words))))
+    likely = weights.T[bags.words]
+    sizes = np.ones((len(bags.starts), len(weights)))
+    dealt = likely
+    for _ in range(steps):
+        dealt = sizes[text_of] * likely
+        dealt *= (bags.counts / dealt.sum(axis=1))[:, None]
+        sizes = smoothing + np.add.reduceat(dealt, bags.starts, axis=0)
+    return sizes, dealt
+
+
+def _encoded(docs: DataFrame, words: Sequence[str]) -> DataFrame:
+    """The bags of ``tokens`` by word number, of texts with a known word; written once."""
+    listed = docs.sparkSession.sparkContext.broadcast(list(words))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(listed.value, pa.string())
+        for batch in batches:
+            bags, _ = _bags_of(batch.column(0), known)
+            offsets = pa.array(np.append(bags.starts, len(bags.words)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(offsets, pa.array(bags.words, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(bags.counts, pa.int32())),
+                ],
+                ["words", "counts"],
+            )
+
+    return written(docs.select("tokens").mapInArrow(encode, "words array<int>, counts array<int>"))
+
+
+def _dealt_words(bags: DataFrame, weights: np.ndarray, smoothing: float, steps: int, chunk: int) -> np.ndarray:
+    """Words of all texts by word and topic: summed in the tasks, then over them."""
+    k, size = weights.shape
+    shared = bags.sparkSession.sparkContext.broadcast(weights)
+    names = [f"t{topic}" for topic in range(k)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, size))
+        for batch in batches:
+            lists = batch.column(0)
+            starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))[:-1]
+            whole = _Bags(lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy(), starts)
+            for block in whole.blocks(chunk):
+                _, dealt = _adjusted(block, shared.value, smoothing, steps)
+                for topic in range(k):
+                    total[topic] += np.bincount(block.words, dealt[:, topic], size)
+        seen = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen, pa.int32()), *[pa.array(total[topic][seen]) for topic in range(k)]], ["word", *names]
+        )
+
+    schema = "word int, " + ", ".join(f"{name} double" for name in names)
+    sums = bags.mapInArrow(deal, schema).groupBy("word").agg(*[F.sum(name).alias(name) for name in names])
+    # As many rows as the vocabulary has words.
+    rows = sums.toArrow()
+    shared.unpersist()
+    total = np.zeros((k, size))
+    for topic, name in enumerate(names):
+        total[topic][rows["word"].to_numpy()] = rows[name].to_numpy()
+    return total
+
+
 def fit_topics(
     df: DataFrame,
     text: str = "content",
@@ -90,15 +225,18 @@ def fit_topics(
     max_vocabulary: int = MAX_VOCABULARY,
     stop: Sequence[str] | None = None,
     seed: int = 11,
-) -> PipelineModel:
-    """Vocabulary and LDA model, as one model that is saved and loaded together.
+    smoothing: float | None = None,
+    steps: int = FOLD_STEPS,
+) -> TopicModel:
+    """Vocabulary and topics from all texts.
 
     The vocabulary comes from all texts, or from a sample of ``sample`` of them. At most
     ``max_vocabulary`` words are kept, the most frequent ones; how many were cut is logged.
 
-    An update draws ``chunk`` texts, or all if there are fewer, whatever the size of the input.
-    The optimizer draws with replacement, so a text is left out of training with a probability
-    of exp(-``passes``): 0.7 % by default.
+    Each of the ``passes`` (rounded up) reads the bags of all texts once: a text's words are dealt
+    to topics in ``steps`` adjustments, and the weights become the dealt words of all texts, plus
+    ``smoothing`` (one k-th by default) for every word. A task works on at most ``chunk`` texts at
+    once. A text without a known word says nothing about topics.
     """
     docs = tokenized(df, text, stop)
     known = docs if sample is None else sample_rows(docs.select(id, "tokens"), sample, id)
@@ -109,79 +247,91 @@ def fit_topics(
         _log.warning("vocabulary cut to %d words of %d", max_vocabulary, terms.count())
     if not kept:
         raise ValueError("no word is found in enough texts and in few enough")
-    counter = CountVectorizerModel.from_vocabulary(
-        [row["term"] for row in kept], inputCol="tokens", outputCol="bag"
+    words = tuple(row["term"] for row in kept)
+    smoothing = 1 / k if smoothing is None else smoothing
+    bags = _encoded(docs, words)
+    weights, mass = first_weights(k, len(words), seed), np.zeros(k)
+    for _ in range(max(1, ceil(passes))):
+        dealt = _dealt_words(bags, weights, smoothing, steps, chunk)
+        mass = dealt.sum(axis=1)
+        weights = (dealt + smoothing) / (mass + len(words) * smoothing)[:, None]
+    return TopicModel(words, weights, mass, smoothing, steps)
+
+
+def topic_weights(spark: SparkSession, model: TopicModel) -> DataFrame:
+    """``place, term, weights``: one row per known word with its weight in every topic."""
+    table = pa.table({
+        "place": pa.array(range(len(model.words)), pa.int32()),
+        "term": pa.array(model.words, pa.string()),
+        "weights": pa.array(list(model.weights.T), pa.list_(pa.float64())),
+    })
+    return spark.createDataFrame(table)
+
+
+def save_topics(model: TopicModel, path: str) -> None:
+    """Two tables below ``path``: the weights of every word, and one row about the model."""
+    spark = SparkSession.active()
+    topic_weights(spark, model).write.mode("overwrite").parquet(f"{path}/weights")
+    about = [(model.mass.tolist(), float(model.smoothing), model.steps)]
+    schema = "mass array<double>, smoothing double, steps int"
+    spark.createDataFrame(about, schema).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_topics(path: str) -> TopicModel:
+    spark = SparkSession.active()
+    rows = spark.read.parquet(f"{path}/weights").orderBy("place").toArrow()
+    about = spark.read.parquet(f"{path}/model").first()
+    weights = np.array(rows["weights"].combine_chunks().flatten()).reshape(len(rows), -1).T
+    return TopicModel(
+        tuple(rows["term"].to_pylist()), weights, np.array(about["mass"]), about["smoothing"], about["steps"]
     )
-    bags = counter.transform(docs.select("tokens")).select("bag")
-    bags = bags.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = max(1, bags.count())
-        updates = max(1, ceil(passes * rows / min(chunk, rows)))
-        lda = LDA(
-            featuresCol="bag",
-            topicDistributionCol="topics",
-            k=k,
-            optimizer="online",
-            optimizeDocConcentration=True,
-            maxIter=updates,
-            subsamplingRate=min(1.0, chunk / rows),
-            seed=seed,
-        ).fit(bags)
-    finally:
-        bags.unpersist()
-    return PipelineModel(stages=[counter, lda])
-
-
-def save_topics(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_topics(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-def _stages(model: PipelineModel) -> tuple[CountVectorizerModel, LDAModel]:
-    return model.stages[0], model.stages[1]
 
 
 def assign_topics(
     df: DataFrame,
-    model: PipelineModel,
+    model: TopicModel,
     text: str = "content",
     drop_empty: bool = True,
     stop: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add ``topic_id``, the most probable topic of each text.
+    """Add ``topic_id``, the largest topic of each text; of equal ones the first.
 
-    A text without known words is dropped, or gets the most probable topic beforehand.
+    A text without known words is dropped, or gets the topic that took most words in training.
     """
-    counter, lda = _stages(model)
-    scored = lda.transform(counter.transform(tokenized(df, text, stop)))
-    prior = list(lda.estimatedDocConcentration().toArray())
-    dominant = let(
-        vector_to_array("topics"),
-        lambda shares: F.when(
-            F.array_max(shares) > 0,
-            F.array_position(shares, F.array_max(shares)).cast("int") - 1,
-        ),
-    )
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("int")
+    def dominant(tokens: pa.Array) -> pa.Array:
+        fitted = shared.value
+        bags, texts = _bags_of(tokens, pa.array(fitted.words, pa.string()))
+        best = np.full(len(tokens), -1, np.int32)
+        at = 0
+        for block in bags.blocks(CHUNK):
+            sizes, _ = _adjusted(block, fitted.weights, fitted.smoothing, fitted.steps)
+            best[texts[at : at + len(sizes)]] = sizes.argmax(axis=1)
+            at += len(sizes)
+        return pa.array(best, mask=best < 0)
+
     columns = [F.col(name) for name in df.columns]
+    topic = dominant(clean_tokens(F.coalesce(F.col(text), F.lit("")), stop))
+    scored = df.select(*columns, topic.alias("__topic"))
     if not drop_empty:
-        filled = F.coalesce(dominant, F.lit(prior.index(max(prior))))
+        filled = F.coalesce("__topic", F.lit(int(model.mass.argmax())))
         return scored.select(*columns, filled.alias("topic_id"))
     # Not a filter: that would be moved below this and infer every topic a second time.
-    return scored.select(*columns, F.explode(F.array_compact(F.array(dominant))).alias("topic_id"))
+    kept = F.explode(F.array_compact(F.array("__topic")))
+    return scored.select(*columns, kept.alias("topic_id"))
+
 
+def _labels(model: TopicModel, words: int) -> list[str]:
+    def best(weights: np.ndarray) -> list[str]:
+        ranked = sorted(zip((-weights).round(WEIGHT_DECIMALS).tolist(), model.words, strict=True))
+        return [word for _, word in ranked[:words]]
 
-def _labels(model: PipelineModel, words: int) -> list[str]:
-    counter, lda = _stages(model)
-    terms = counter.vocabulary
-    # k rows of a few indices each, fixed by the model.
-    topics = lda.describeTopics(words).orderBy("topic").collect()
-    return [" ".join(terms[index] for index in row["termIndices"]) for row in topics]
+    return [" ".join(best(weights)) for weights in model.weights]
 
 
-def topic_labels(df: DataFrame, model: PipelineModel, words: int = TOPIC_WORDS) -> DataFrame:
+def topic_labels(df: DataFrame, model: TopicModel, words: int = TOPIC_WORDS) -> DataFrame:
     """``topic_id, topic_words``: the top words of each topic, in the session of ``df``."""
     rows = list(enumerate(_labels(model, words)))
     return df.sparkSession.createDataFrame(rows, "topic_id int, topic_words string")
@@ -189,7 +339,7 @@ def topic_labels(df: DataFrame, model: PipelineModel, words: int = TOPIC_WORDS)
 
 def topic_counts(
     df: DataFrame,
-    model: PipelineModel,
+    model: TopicModel,
     text: str = "content",
     drop_empty: bool = True,
     words: int = TOPIC_WORDS,

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from postsift.defaults import PASSES, TOPICS
+
 from . import queries as q
+from . import topic_oracle
 
 _POSTS = """
 posts AS (
@@ -398,6 +401,13 @@ def oracle_sql() -> dict[str, str]:
         "sample_docs": f"{_with()} SELECT id, username FROM posts ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 100",
         "topic_kept_ids": f"""{_with(_TOKENS, _KNOWN_WORDS)}
             SELECT DISTINCT id FROM cleaned JOIN known USING (token)""",
+        "topic_counts": f"""{_with(_TOKENS, *topic_oracle.model(TOPICS, PASSES), topic_oracle.labels(TOPICS))}
+            SELECT topic_words, count(*) AS count FROM assigned JOIN labels USING (topic_id) GROUP BY topic_words""",
+        "topic_assignments": f"""{_with(_TOKENS, *topic_oracle.model(5, PASSES))}
+            SELECT id, coalesce(topic_id, (SELECT topic FROM most)) AS topic_id
+            FROM posts LEFT JOIN assigned USING (id)""",
+        "topic_labels": f"""{_with(_TOKENS, *topic_oracle.model(5, PASSES), topic_oracle.labels(5))}
+            SELECT topic_id, topic_words FROM labels""",
         "topic_totals": f"""{_with(_TOKENS, _KNOWN_WORDS)}
             SELECT (SELECT count(DISTINCT id) FROM cleaned JOIN known USING (token)) AS kept,
                    (SELECT count(*) FROM posts) AS every""",

@@ -672,7 +672,7 @@ def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = posts(spark, sf_dir).select("id", "content")
-    return topics.topic_counts(flat, topics.fit_topics(flat))
+    return topics.topic_counts(flat, topics.fit_topics(flat, stop=STOP), stop=STOP)
 
 
 @_query
@@ -680,12 +680,12 @@ def topic_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a model that was saved and loaded again."""
     flat = posts(spark, sf_dir).select("id", "content")
     folder = fresh_folder(spark)
-    topics.save_topics(topics.fit_topics(flat, k=5), folder)
-    assigned = topics.assign_topics(flat, topics.load_topics(folder), drop_empty=False)
+    topics.save_topics(topics.fit_topics(flat, k=5, stop=STOP), folder)
+    assigned = topics.assign_topics(flat, topics.load_topics(folder), drop_empty=False, stop=STOP)
     return assigned.select("id", "topic_id")
 
 
 @_query
 def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = posts(spark, sf_dir).select("id", "content")
-    return topics.topic_labels(flat, topics.fit_topics(flat, k=5))
+    return topics.topic_labels(flat, topics.fit_topics(flat, k=5, stop=STOP))

@@ -84,3 +84,61 @@ def test_saved_models_work_alike(docs, model, tmp_path):
 def test_many_updates(docs):
     model = topics.fit_topics(docs, k=2, chunk=10, passes=1, min_docs=1, max_share=1.0)
     assert topics.topic_labels(docs, model).count() == 2
+
+
+def plain_fit(texts, words, k, passes, seed, steps):
+    """The same model by loops over texts, words and topics."""
+    smoothing = 1 / k
+    weights = topics.first_weights(k, len(words), seed).tolist()
+    bags = [{words.index(w): text.split().count(w) for w in set(text.split()) if w in words} for text in texts]
+    for _ in range(passes):
+        dealt = [[0.0] * len(words) for _ in range(k)]
+        for bag in bags:
+            sizes = [1.0] * k
+            for step in range(steps):
+                after = [smoothing] * k
+                for word, n in bag.items():
+                    joint = [sizes[t] * weights[t][word] for t in range(k)]
+                    for t in range(k):
+                        share = n * joint[t] / sum(joint)
+                        after[t] += share
+                        if step == steps - 1:
+                            dealt[t][word] += share
+                sizes = after
+        weights = [[(n + smoothing) / (sum(row) + len(words) * smoothing) for n in row] for row in dealt]
+    return weights, [sum(row) for row in dealt]
+
+
+def test_training_uses_every_word_of_every_text(spark):
+    texts = [f"w{i % 7} w{i % 5} w{i % 5} x{i % 3}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    options = dict(k=3, passes=3, min_docs=1, max_share=1.0, stop=[])
+    model = topics.fit_topics(df.repartition(5), **options)
+    weights, mass = plain_fit(texts, list(model.words), 3, 3, 11, model.steps)
+    assert model.weights == pytest.approx(pytest.importorskip("numpy").array(weights), abs=1e-12)
+    assert model.mass == pytest.approx(mass) and sum(mass) == pytest.approx(60 * 4)
+    # Neither the layout nor the size of the blocks matters.
+    other = topics.fit_topics(df.coalesce(1), chunk=7, **options)
+    assert other.weights == pytest.approx(model.weights, abs=1e-12)
+
+
+def test_copies_of_all_texts_give_the_same_topics(docs, model):
+    """What training does with a text does not depend on how many there are."""
+    twice = topics.fit_topics(docs.unionByName(docs), k=3, min_docs=4, max_share=0.9)
+    assert twice.words == model.words
+    assert twice.mass == pytest.approx(2 * model.mass, rel=0.05)
+
+
+def test_no_text_has_a_known_word(docs, model):
+    strange = docs.selectExpr("id", "'zzz' AS content")
+    assert topics.assign_topics(strange, model).count() == 0
+    filled = topics.assign_topics(strange, model, drop_empty=False)
+    assert {row["topic_id"] for row in filled.collect()} == {int(model.mass.argmax())}
+    assert topics.assign_topics(docs.limit(0), model, drop_empty=False).collect() == []
+
+
+def test_weights_as_a_table(spark, model):
+    table = topics.topic_weights(spark, model)
+    assert [row["term"] for row in table.orderBy("place").collect()] == list(model.words)
+    total = table.select(F.explode("weights").alias("w")).agg(F.sum("w")).first()[0]
+    assert total == pytest.approx(3)
