@@ -29,9 +29,13 @@ MAX_VOCABULARY = 100_000
 #: How often the topics of a text are adjusted to its words.
 FOLD_STEPS = 8
 
-#: A term list travels inside the plan only up to these sizes; larger lists are joined.
+#: A term list travels inside the plan only up to these sizes; larger ones are looked up.
 INLINE_TERMS = 2_000
 INLINE_BYTES = 256 * 1024
 
+#: A longer term table is one automaton per Python worker up to these sizes, some 100 MB.
+INDEX_TERMS = 100_000
+INDEX_BYTES = 1024 * 1024
+
 #: A table is copied to every executor only if it was measured to be at most this large.
 BROADCAST_BYTES = 64 * 1024 * 1024

@@ -80,7 +80,8 @@ def _needles(terms: list[str], match: str, fold_keyword: bool) -> Column:
     return _text_array(text if match == "regex" else fold(text))
 
 
-def _found(text: Column, sought: Column, match: str) -> Column:
+def found_in(text: Column, sought: Column, match: str) -> Column:
+    """Whether a ``needle`` is in a ``searchable`` text."""
     if match == "like":
         return F.like(text, F.concat(F.lit("%"), sought, F.lit("%")))
     if match == "regex":
@@ -141,7 +142,7 @@ def matched_terms(
 
         def found(body: Column) -> Column:
             conditions = [
-                F.when(_found(body, needle(F.lit(term), match, fold_keyword), match), F.lit(term))
+                F.when(found_in(body, needle(F.lit(term), match, fold_keyword), match), F.lit(term))
                 for term in terms
             ]
             return F.array_compact(F.array(*conditions))
@@ -152,7 +153,7 @@ def matched_terms(
 
         def found(body: Column) -> Column:
             return F.filter(
-                listed, lambda _, index: _found(body, F.get(needles, index), match)
+                listed, lambda _, index: found_in(body, F.get(needles, index), match)
             )
 
     return _with_text(text, match, lambda body: F.when(body.isNotNull(), found(body)))
@@ -176,13 +177,13 @@ def any_match(
 
         def hit(body: Column) -> Column:
             return _either(
-                [_found(body, needle(F.lit(term), match, fold_keyword), match) for term in terms]
+                [found_in(body, needle(F.lit(term), match, fold_keyword), match) for term in terms]
             )
 
     else:
         needles = _needles(terms, match, fold_keyword)
 
         def hit(body: Column) -> Column:
-            return F.exists(needles, lambda sought: _found(body, sought, match))
+            return F.exists(needles, lambda sought: found_in(body, sought, match))
 
     return F.coalesce(_with_text(text, match, hit), F.lit(False))

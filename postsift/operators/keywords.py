@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.defaults import ANTI_LABEL, PRO_LABEL
-from postsift.functions.matching import any_match, matched_terms
 from postsift.functions.text import let
 from postsift.storage import fits_in_memory, written
 
-from .term_join import pairs_by_words, text_key
-from .terms import Terms, inline_terms, slices
+from .term_index import TermIndex, any_of, local_terms, matched
+from .term_join import keys_by_words, pairs_by_words, text_key
+from .terms import Terms
 
 
 class Censored(NamedTuple):
@@ -32,25 +31,19 @@ def keyword_pairs(
 ) -> DataFrame:
     """One row per (post, keyword) pair: the post's columns and ``keyword``.
 
-    A short list becomes part of the scan stage. A longer table is joined by the words it
-    touches; patterns have no such key, they are searched slice by slice.
+    A short list becomes part of the scan stage, a table of middle size is looked up there. A
+    longer one is joined by the words it touches, patterns by words that their matches hold.
     """
-    terms = inline_terms(keywords)
+    terms = local_terms(keywords, match, fold_keyword)
     if terms is not None:
         return _inline_pairs(df, terms, text, match, fold_keyword, keyword)
-    if match in ("like", "regex"):
-        parts = [
-            _inline_pairs(df, part, text, match, fold_keyword, keyword)
-            for part in slices(keywords)
-        ]
-        return reduce(DataFrame.unionByName, parts)
     return pairs_by_words(df, keywords, text, match, fold_keyword, keyword)
 
 
 def _inline_pairs(
-    df: DataFrame, terms: list[str], text: str, match: str, fold_keyword: bool, keyword: str
+    df: DataFrame, terms: list[str] | TermIndex, text: str, match: str, fold_keyword: bool, keyword: str
 ) -> DataFrame:
-    found = matched_terms(F.col(text), terms, match, fold_keyword)
+    found = matched(F.col(text), terms, match, fold_keyword)
     return df.select("*", F.explode(found).alias(keyword))
 
 
@@ -63,10 +56,10 @@ def with_match_count(
     fold_keyword: bool = True,
 ) -> DataFrame:
     """Add the number of keywords each post holds, 0 for NULL text."""
-    terms = inline_terms(keywords)
+    terms = local_terms(keywords, match, fold_keyword)
     if terms is None:
         return _count_by_join(df, keywords, name, text, match, fold_keyword)
-    found = matched_terms(F.col(text), terms, match, fold_keyword)
+    found = matched(F.col(text), terms, match, fold_keyword)
     return df.withColumn(name, F.coalesce(F.size(found), F.lit(0)))
 
 
@@ -122,10 +115,10 @@ def censor(
         raise ValueError(f"unknown remainder: {remainder}")
     if count not in ("pairs", "tweets"):
         raise ValueError(f"unknown count: {count}")
-    terms = inline_terms(keywords)
+    terms = local_terms(keywords, match, fold_keyword)
     if terms is None:
         return _censor_by_join(df, keywords, remainder, count, text, match, fold_keyword)
-    hit = any_match(F.col(text), terms, match, fold_keyword)
+    hit = any_of(F.col(text), terms, match, fold_keyword)
     if count == "pairs":
         matches = _inline_pairs(df, terms, text, match, fold_keyword, "__keyword").drop("__keyword")
     else:
@@ -143,16 +136,38 @@ def _censor_by_join(
     match: str,
     fold_keyword: bool,
 ) -> Censored:
-    pairs = keyword_pairs(df, keywords, text, match, fold_keyword, "__keyword").drop("__keyword")
-    hits = written(pairs.select(text_key(F.col(text)).alias("__key")).distinct())
+    """Whether a text holds a term is looked up by its key; pairs are only listed if they count."""
+    hits = written(keys_by_words(df, keywords, text, match, fold_keyword))
     if fits_in_memory(hits):
         hits = F.broadcast(hits)
     keyed = df.withColumn("__key", text_key(F.col(text)))
     kept = keyed.join(hits, "__key", "left_anti").drop("__key")
-    matches = pairs if count == "pairs" else keyed.join(hits, "__key", "left_semi").drop("__key")
+    if count == "pairs":
+        matches = pairs_by_words(df, keywords, text, match, fold_keyword, "__keyword").drop("__keyword")
+    else:
+        matches = keyed.join(hits, "__key", "left_semi").drop("__key")
     return Censored(matches, kept.distinct() if remainder == "except" else kept)
 
 
+def with_any_match(
+    df: DataFrame,
+    keywords: Terms,
+    name: str,
+    text: str = "content",
+    match: str = "contains",
+    fold_keyword: bool = True,
+) -> DataFrame:
+    """Add whether a post holds at least one keyword; false for NULL text."""
+    terms = local_terms(keywords, match, fold_keyword)
+    if terms is not None:
+        return df.withColumn(name, any_of(F.col(text), terms, match, fold_keyword))
+    hits = written(keys_by_words(df, keywords, text, match, fold_keyword)).withColumn(name, F.lit(True))
+    if fits_in_memory(hits):
+        hits = F.broadcast(hits)
+    joined = df.withColumn("__key", text_key(F.col(text))).join(hits, "__key", "left")
+    return joined.select(*df.columns, F.coalesce(name, F.lit(False)).alias(name))
+
+
 def count_matches(
     df: DataFrame,
     keywords: Terms,
@@ -163,12 +178,12 @@ def count_matches(
     name: str = "numero",
 ) -> DataFrame:
     """One row with the number of pairs, or of posts that hold a keyword."""
-    terms = inline_terms(keywords)
+    terms = local_terms(keywords, match, fold_keyword)
     if terms is None:
-        parts = censor(df, keywords, "anti", count, text, match, fold_keyword)
+        parts = censor(df.select(text), keywords, "anti", count, text, match, fold_keyword)
         return parts.matches.agg(F.count("*").alias(name))
     if count == "tweets":
-        hit = any_match(F.col(text), terms, match, fold_keyword)
+        hit = any_of(F.col(text), terms, match, fold_keyword)
         return df.where(hit).agg(F.count("*").alias(name))
     counted = with_match_count(df, terms, "__n", text, match, fold_keyword)
     return counted.agg(F.coalesce(F.sum(F.col("__n").cast("bigint")), F.lit(0)).alias(name))
@@ -185,7 +200,7 @@ def stance_totals(
     labels: tuple[str, str] = (PRO_LABEL, ANTI_LABEL),
 ) -> DataFrame:
     """``tipo, numero``: matches of both lists, from one pass over the posts."""
-    sides = [inline_terms(pro), inline_terms(anti)]
+    sides = [local_terms(side, match, fold_keyword) for side in (pro, anti)]
     if None in sides:
         totals = [
             count_matches(df, terms, count, text, match, fold_keyword).select(
@@ -198,10 +213,10 @@ def stance_totals(
     for terms in sides:
         if count == "pairs":
             size = F.coalesce(
-                F.size(matched_terms(F.col(text), terms, match, fold_keyword)), F.lit(0)
+                F.size(matched(F.col(text), terms, match, fold_keyword)), F.lit(0)
             )
         else:
-            size = any_match(F.col(text), terms, match, fold_keyword).cast("int")
+            size = any_of(F.col(text), terms, match, fold_keyword).cast("int")
         measures.append(F.coalesce(F.sum(size.cast("bigint")), F.lit(0)))
     totals = df.agg(measures[0].alias("pro"), measures[1].alias("anti"))
     rows = F.array(
@@ -221,7 +236,7 @@ def stance_pairs(
     labels: tuple[str, str] = (PRO_LABEL, ANTI_LABEL),
 ) -> DataFrame:
     """One row per (post, list, keyword) with ``tipo`` and ``keyword``, from one pass."""
-    sides = [inline_terms(pro), inline_terms(anti)]
+    sides = [local_terms(side, match, fold_keyword) for side in (pro, anti)]
     if None in sides:
         parts = [
             keyword_pairs(df, terms, text, match, fold_keyword).withColumn("tipo", F.lit(label))
@@ -230,8 +245,8 @@ def stance_pairs(
         pairs = parts[0].unionByName(parts[1])
         return pairs.select(*df.columns, "tipo", "keyword")
 
-    def labelled(terms: list[str], label: str) -> Column:
-        found = matched_terms(F.col(text), terms, match, fold_keyword)
+    def labelled(terms: list[str] | TermIndex, label: str) -> Column:
+        found = matched(F.col(text), terms, match, fold_keyword)
         return F.transform(
             found, lambda term: F.struct(F.lit(label).alias("tipo"), term.alias("keyword"))
         )
@@ -252,7 +267,7 @@ def stance_overlap(
 
     ``pro`` and ``anti`` are the numbers of keywords found.
     """
-    sides = [inline_terms(pro), inline_terms(anti)]
+    sides = [local_terms(side, match, fold_keyword) for side in (pro, anti)]
     if None in sides:
         counted = with_match_count(df, pro, "pro", text, match, fold_keyword)
         counted = with_match_count(counted, anti, "anti", text, match, fold_keyword)
@@ -260,7 +275,7 @@ def stance_overlap(
         return counted.where((F.col("pro") > 0) | (F.col("anti") > 0)).withColumn("overlap", both)
     numbers = []
     for name, listed in zip(("pro", "anti"), sides):
-        found = matched_terms(F.col(text), listed, match, fold_keyword)
+        found = matched(F.col(text), listed, match, fold_keyword)
         numbers.append(F.coalesce(F.size(found), F.lit(0)).alias(name))
     # A list of one entry or none keeps the search from being repeated in a filter.
     marked = let(

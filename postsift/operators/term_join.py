@@ -5,22 +5,34 @@ words it touches instead: the longest blank-free piece of a term always lies ins
 blank-separated word of a text that holds the term. So pieces are looked up in the list of
 distinct words (short strings, by their first characters), words lead to texts, and only
 the candidates are checked against the whole text.
+
+Patterns have pieces too: those of the literals that all their matches hold. A pattern without one
+is tried on every text, two thousand of them at a time; how many there are is logged.
 """
 
 from __future__ import annotations
 
+import logging
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsift.functions.matching import needle, searchable
+from postsift.functions.matching import found_in, matched_terms, needle, searchable
 from postsift.storage import written
 
+from .literals import like_cover, regex_cover, word_part
 from .skew import spread_join
-from .terms import as_column
+from .terms import as_column, slices
+
+_log = logging.getLogger(__name__)
 
 #: Length of the start of a piece that serves as join key.
 GRAM = 3
 
+#: Longer words are cut, parts overlapping by the longest piece.
+LONG_WORD = 1_000
+
 
 def text_key(text: Column) -> Column:
     """32 bytes that stand for a text in joins and distincts, none for a missing text.
@@ -30,17 +42,34 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
+def _pattern_pieces(match: str) -> Column:
+    """Pieces of which every text with the pattern holds one; NULL if there are none."""
+
+    @F.arrow_udf("array<string>")
+    def pieces(needles: pa.Array) -> pa.Array:
+        found = []
+        for sought in needles.to_pylist():
+            cover = (like_cover if match == "like" else regex_cover)(sought)
+            parts = [word_part(literal) for literal in cover or [""]]
+            found.append(sorted(set(parts)) if all(parts) else None)
+        return pa.array(found, pa.list_(pa.string()))
+
+    return pieces(F.col("needle"))
+
+
 def _needles(terms: DataFrame, match: str, fold_keyword: bool) -> DataFrame:
+    """``term, copies, needle, pieces``."""
     listed = as_column(terms).groupBy("term").agg(F.count("*").alias("copies"))
+    listed = listed.withColumn("needle", needle(F.col("term"), match, fold_keyword)).where("needle IS NOT NULL")
+    if match in ("like", "regex"):
+        return written(listed.withColumn("pieces", _pattern_pieces(match)))
     piece = F.array_max(
         F.transform(
             F.split(F.col("needle"), " "),
             lambda part: F.struct(F.length(part).alias("size"), part.alias("part")),
         )
     )["part"]
-    return listed.withColumn(
-        "needle", needle(F.col("term"), match, fold_keyword)
-    ).withColumn("piece", piece)
+    return listed.withColumn("pieces", F.array(piece))
 
 
 def _grams(word: Column, sizes: list[int]) -> Column:
@@ -54,6 +83,53 @@ def _grams(word: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of_size, sizes)))
 
 
+def _words(text: Column, match: str, longest: int) -> Column:
+    """The different words of a text, long ones in overlapping parts."""
+    words = F.array_distinct(F.split(F.lower(text) if match == "regex" else searchable(text, match), " "))
+    step = LONG_WORD + longest
+
+    def parts(word: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word), F.lit(LONG_WORD))
+        cut = F.transform(starts, lambda start: F.substring(word, start, F.lit(step)))
+        return F.when(F.length(word) > step, cut).otherwise(F.array(word))
+
+    return F.array_distinct(F.flatten(F.transform(words, parts)))
+
+
+def _touched(rows: DataFrame, needles: DataFrame, text: str, match: str) -> tuple[DataFrame, DataFrame]:
+    """``__key, word`` of all texts, and ``word, piece`` for the words that hold a piece."""
+    pieces = needles.select(F.explode("pieces").alias("piece")).where("piece <> ''").distinct()
+    pieces = pieces.withColumn("gram", F.substring("piece", 1, GRAM))
+    # At most GRAM different lengths.
+    about = pieces.agg(F.collect_set(F.length("gram")).alias("sizes"), F.max(F.length("piece")).alias("longest")).first()
+    words = rows.select("__key", F.explode(_words(F.col(text), match, about["longest"] or 0)).alias("word"))
+    words = words.where("word <> ''")
+    grams = (
+        words.select("word")
+        .distinct()
+        .select("word", F.explode(_grams(F.col("word"), sorted(about["sizes"]))).alias("gram"))
+    )
+    held = spread_join(grams, pieces, "gram", F.col("word"))
+    return words, written(held.where(F.contains("word", "piece")).select("word", "piece").distinct())
+
+
+def _candidates(rows: DataFrame, needles: DataFrame, text: str, match: str) -> DataFrame:
+    """``__key, term, needle, copies``: each text and the terms one of whose pieces it holds."""
+    words, touched = _touched(rows, needles, text, match)
+    keys = spread_join(words, touched, "word", F.col("__key")).select("__key", "piece").distinct()
+    listed = needles.select("term", "needle", "copies", F.explode("pieces").alias("piece")).where("piece <> ''")
+    found = spread_join(keys, listed, "piece", F.col("__key")).select("__key", "term", "needle", "copies")
+    return written(found.distinct() if match in ("like", "regex") else found)
+
+
+def _blank_runs(text: str, match: str) -> Column:
+    """The longest run of blanks: a text holds a blank term if it has a run as long."""
+    runs = F.transform(
+        F.regexp_extract_all(searchable(F.col(text), match), F.lit("( +)"), F.lit(1)), F.length
+    )
+    return F.coalesce(F.array_max(runs), F.lit(0))
+
+
 def pairs_by_words(
     df: DataFrame,
     terms: DataFrame,
@@ -62,49 +138,81 @@ def pairs_by_words(
     fold_keyword: bool = True,
     keyword: str = "keyword",
 ) -> DataFrame:
-    """One row per (post, term) pair, for ``contains``, ``spaced`` and ``word``."""
+    """One row per (post, term) pair."""
     needles = _needles(terms, match, fold_keyword)
     rows = df.where(F.col(text).isNotNull()).withColumn("__key", text_key(F.col(text)))
-
-    words = rows.select(
-        "__key",
-        F.explode(F.array_distinct(F.split(searchable(F.col(text), match), " "))).alias("word"),
-    ).where(F.col("word") != "")
-    pieces = needles.where(F.col("piece") != "").select("piece").distinct()
-    pieces = pieces.withColumn("gram", F.substring("piece", 1, GRAM))
-    # At most GRAM different lengths.
-    sizes = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()]
-    grams = (
-        words.select("word")
-        .distinct()
-        .select("word", F.explode(_grams(F.col("word"), sorted(sizes))).alias("gram"))
-    )
-    touched = written(
-        grams.join(pieces, "gram").where(F.contains("word", "piece")).select("word", "piece")
-    )
-
-    key = F.col("__key")
-    candidates = spread_join(words, touched, "word", key).select("__key", "piece").distinct()
-    candidates = written(
-        spread_join(candidates, needles, "piece", key).select("__key", "term", "needle", "copies")
-    )
+    candidates = _candidates(rows, needles, text, match)
     columns = [F.col(name) for name in df.columns]
     repeated = F.array_repeat("term", F.col("copies").cast("int"))
     checked = (
         spread_join(rows, candidates, "__key", F.struct(*columns))
-        .where(F.contains(searchable(F.col(text), match), "needle"))
+        .where(found_in(searchable(F.col(text), match), F.col("needle"), match))
         .select(*columns, F.explode(repeated).alias(keyword))
     )
-    # Blank terms touch no word: a text holds one if it has a run of blanks as long.
-    blank = needles.where(F.col("piece") == "").select(
+    if match in ("like", "regex"):
+        return _with_searched(checked, df, needles, text, match, fold_keyword, keyword)
+    # Blank terms touch no word.
+    blank = needles.where(F.get("pieces", F.lit(0)) == "").select(
         F.col("term"), "copies", F.length("needle").alias("__run")
     )
-    runs = F.transform(
-        F.regexp_extract_all(searchable(F.col(text), match), F.lit("( +)"), F.lit(1)), F.length
-    )
-    longest = F.coalesce(F.array_max(runs), F.lit(0))
-    held = rows.withColumn("__run", F.explode(F.sequence(F.lit(0), longest)))
+    held = rows.withColumn("__run", F.explode(F.sequence(F.lit(0), _blank_runs(text, match))))
     blank_pairs = spread_join(held, blank, "__run", F.struct(*columns)).select(
         *columns, F.explode(repeated).alias(keyword)
     )
     return checked.unionByName(blank_pairs)
+
+
+def _searched(needles: DataFrame) -> DataFrame:
+    """The patterns without a literal, as often as they are listed."""
+    rest = needles.where("pieces IS NULL")
+    number = rest.count()
+    if number:
+        _log.warning("%d patterns without a literal are tried on every text", number)
+    return rest.select(F.explode(F.array_repeat("term", F.col("copies").cast("int"))).alias("term"))
+
+
+def _with_searched(
+    checked: DataFrame, df: DataFrame, needles: DataFrame, text: str, match: str, fold_keyword: bool, keyword: str
+) -> DataFrame:
+    for part in slices(_searched(needles)):
+        found = matched_terms(F.col(text), part, match, fold_keyword)
+        checked = checked.unionByName(df.select("*", F.explode(found).alias(keyword)))
+    return checked
+
+
+def keys_by_words(
+    df: DataFrame, terms: DataFrame, text: str = "content", match: str = "contains", fold_keyword: bool = True
+) -> DataFrame:
+    """``__key`` of every text that holds a term, once; pairs are not listed.
+
+    A word that holds a whole term settles its text, so only the other texts are compared with the
+    terms of more than one word.
+    """
+    needles = _needles(terms, match, fold_keyword)
+    rows = df.select(text).where(F.col(text).isNotNull()).withColumn("__key", text_key(F.col(text)))
+    words, touched = _touched(rows, needles, text, match)
+    listed = needles.withColumn("piece", F.explode("pieces"))
+    if match == "contains":
+        sure = listed.where("needle = piece AND piece <> ''").select("piece").distinct()
+    else:
+        sure = listed.where(F.lit(False)).select("piece")
+    by_piece = written(spread_join(words, touched, "word", F.col("__key")).select("__key", "piece").distinct())
+    settled = written(spread_join(by_piece, sure, "piece", F.col("__key")).select("__key").distinct())
+    open_keys = by_piece.join(settled, "__key", "left_anti")
+    unsure = listed.where("piece <> ''").select("needle", "piece").distinct()
+    candidates = written(spread_join(open_keys, unsure, "piece", F.col("__key")).select("__key", "needle").distinct())
+    checked = (
+        spread_join(rows, candidates, "__key", F.col(text))
+        .where(found_in(searchable(F.col(text), match), F.col("needle"), match))
+        .select("__key")
+    )
+    hits = settled.unionByName(checked)
+    if match in ("like", "regex"):
+        for part in slices(_searched(needles)):
+            found = matched_terms(F.col(text), part, match, fold_keyword)
+            hits = hits.unionByName(rows.where(F.size(found) > 0).select("__key"))
+        return hits.distinct()
+    shortest = listed.where("piece = ''").agg(F.min(F.length("needle"))).first()[0]
+    if shortest is not None:
+        hits = hits.unionByName(rows.where(_blank_runs(text, match) >= shortest).select("__key"))
+    return hits.distinct()

@@ -134,9 +134,15 @@ def test_the_join_finds_what_the_search_finds(spark, posts, match, fold):
     assert rows(joined) == rows(searched)
 
 
+LISTED = ["cat ", "kitten", "KFC", "bad", "my", "my"]
+PATTERNS = {"like": ["c_t", "%", "KFC", "_\\%", "my%k"], "regex": ["c.t", "k(it)+ten|bad", "[ab]+", ".*", "(?:my )?cat", "b\\w+,"]}
+
+
+@pytest.mark.parametrize("way", ["index", "join"])
 @pytest.mark.parametrize("match", MATCHES)
-def test_lists_too_long_for_a_plan_give_the_same_result(spark, posts, monkeypatch, match):
-    table = spark.createDataFrame([(t,) for t in ["cat ", "kitten", "KFC", "bad", "my"]], "term string")
+def test_lists_too_long_for_a_plan_give_the_same_result(spark, posts, monkeypatch, match, way):
+    listed = LISTED + PATTERNS.get(match, [])
+    table = spark.createDataFrame([(t,) for t in listed], "term string")
     flat = posts.select("id", "content", "username")
     short = {
         "pairs": rows(keywords.keyword_pairs(flat, table, match=match)),
@@ -144,10 +150,13 @@ def test_lists_too_long_for_a_plan_give_the_same_result(spark, posts, monkeypatc
         "count": rows(keywords.count_matches(flat, table, "tweets", match=match)),
         "users": rows(keywords.rank_users(flat, table, match=match)),
         "totals": rows(keywords.stance_totals(flat, table, table, match=match)),
+        "any": rows(keywords.with_any_match(flat, table, "hit", match=match)),
         "stances": rows(keywords.stance_pairs(flat, table, table, match=match)),
     }
     monkeypatch.setattr("postsift.operators.terms.INLINE_TERMS", 2)
-    monkeypatch.setattr("postsift.operators.keywords.slices",
+    if way == "join":
+        monkeypatch.setattr("postsift.operators.term_index.INDEX_TERMS", 0)
+    monkeypatch.setattr("postsift.operators.term_join.slices",
                         lambda terms: __import__("postsift.operators.terms", fromlist=["slices"]).slices(terms, 2))
     long = {
         "pairs": rows(keywords.keyword_pairs(flat, table, match=match)),
@@ -155,6 +164,7 @@ def test_lists_too_long_for_a_plan_give_the_same_result(spark, posts, monkeypatc
         "count": rows(keywords.count_matches(flat, table, "tweets", match=match)),
         "users": rows(keywords.rank_users(flat, table, match=match)),
         "totals": rows(keywords.stance_totals(flat, table, table, match=match)),
+        "any": rows(keywords.with_any_match(flat, table, "hit", match=match)),
         "stances": rows(keywords.stance_pairs(flat, table, table, match=match)),
     }
     assert long == short
