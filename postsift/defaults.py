@@ -30,9 +30,12 @@ MAX_VOCABULARY = 100_000
 FOLD_STEPS = 8
 
 #: A term list travels inside the plan only up to these sizes; larger ones are looked up.
-INLINE_TERMS = 2_000
+INLINE_TERMS = 50
 INLINE_BYTES = 256 * 1024
 
+#: Patterns that have to be tried on every text are tried so many at a time.
+SLICE_TERMS = 2_000
+
 #: A longer term table is one automaton per Python worker up to these sizes, some 100 MB.
 INDEX_TERMS = 100_000
 INDEX_BYTES = 1024 * 1024

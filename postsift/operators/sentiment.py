@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsift.defaults import BRANDS, INLINE_TERMS, NEGATIVE_WORDS, POSITIVE_WORDS, SENTIMENTS
+from postsift.defaults import BRANDS, NEGATIVE_WORDS, POSITIVE_WORDS, SENTIMENTS
 from postsift.functions.matching import any_match
 from postsift.functions.text import let, tokens, word_counts
+from postsift.storage import written
 
-from .keywords import keyword_pairs
+from .keywords import keyword_pairs, with_any_match
 from .skew import spread_join
 from .term_join import text_key
 from .terms import Terms, as_column
@@ -20,7 +24,10 @@ from .terms import Terms, as_column
 UNSCORED = ("negative", "drop", "neutral")
 
 #: A rated list of up to this many words is looked up inside the scan stage.
-INLINE_WORDS = 5 * INLINE_TERMS
+INLINE_WORDS = 10_000
+
+#: A larger one is sent to the executors up to this size.
+LOOKUP_BYTES = 32 * 1024 * 1024
 
 
 def unique_words(lexicon: DataFrame) -> DataFrame:
@@ -103,8 +110,10 @@ def lexicon_score(
     posts = df.select(F.col(id).alias("tweet_id"), F.col(text).alias("tweet_content"))
     words = tokens(F.col("tweet_content"), tokenizer)
     by_rating = _inline_ratings(lexicon)
-    if by_rating is None:
-        return _score_by_join(posts, lexicon, words, unique_ids)
+    rated = _rated(lexicon) if by_rating is None else None
+    looked_up = None if rated is None else _lookup(rated)
+    if by_rating is None and looked_up is None:
+        return _score_by_join(posts, rated, words, unique_ids)
     if unique_ids is None:
         unique_ids = not _repeats(posts, "tweet_id")
     if not unique_ids:
@@ -113,18 +122,63 @@ def lexicon_score(
         posts = posts.where(F.col("tweet_content").isNotNull())
     else:
         posts = posts.where(F.size(words) > 0)
+    if looked_up is not None:
+        return posts.withColumn("tweet_rating", looked_up(words))
     scored = posts.withColumn("__words", words)
     return scored.withColumn("tweet_rating", _mean_rating("__words", by_rating)).drop("__words")
 
 
+def _rated(lexicon: DataFrame) -> DataFrame:
+    """``word, total, times``: the sum and the number of a word's ratings, written once.
+
+    Ratings keep their type: whole numbers are summed exactly.
+    """
+    whole = isinstance(lexicon.schema["rating"].dataType, T.IntegralType)
+    rated = lexicon.where(F.col("word").isNotNull() & F.col("rating").isNotNull())
+    rating = F.col("rating").cast("bigint" if whole else "double")
+    return written(rated.groupBy("word").agg(F.sum(rating).alias("total"), F.count("*").alias("times")))
+
+
+def _lookup(rated: DataFrame) -> Callable[[Column], Column] | None:
+    """Mean rating of an array of words, from a table of middle size that every executor gets.
+
+    Words are looked up a batch of texts at a time; nothing is exploded or shuffled. None for a
+    table that was measured to be larger than ``LOOKUP_BYTES``.
+    """
+    size = rated.agg(
+        F.coalesce(F.sum(F.octet_length("word") + F.lit(24)), F.lit(0)).alias("size")
+    ).first()["size"]
+    if size > LOOKUP_BYTES:
+        return None
+    table = rated.toArrow().combine_chunks()
+    shared = rated.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("double")
+    def mean(words: pa.Array) -> pa.Array:
+        known = shared.value
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        listed = known["word"].combine_chunks()
+        place = pc.fill_null(pc.index_in(words.flatten(), value_set=listed), -1).to_numpy(zero_copy_only=False)
+        text_of = np.repeat(np.arange(len(words)), sizes)[place >= 0]
+        place = place[place >= 0]
+        found = np.zeros(len(words), np.int64)
+        np.add.at(found, text_of, known["times"].to_numpy()[place])
+        total = known["total"].to_numpy()
+        sums = np.zeros(len(words), total.dtype)
+        np.add.at(sums, text_of, total[place])
+        return pa.array(sums / np.maximum(found, 1), mask=found == 0)
+
+    return mean
+
+
 def _score_by_join(
-    posts: DataFrame, lexicon: DataFrame, words: Column, unique_ids: bool | None
+    posts: DataFrame, rated: DataFrame, words: Column, unique_ids: bool | None
 ) -> DataFrame:
-    """The same for a lexicon of any size, with fractions, or that rates a word more than once.
+    """The same for a lexicon of any size.
 
     Words travel without their text, counted inside their row. Equal (id, content) rows
-    share a key; adding up their words twice leaves the mean as it is. Ratings keep their
-    type: whole numbers are summed exactly. Only if an id repeats are whole texts compared.
+    share a key; adding up their words twice leaves the mean as it is. Only if an id repeats
+    are whole texts compared.
     """
     if unique_ids is None:
         unique_ids = not _repeats(posts, "tweet_id")
@@ -132,16 +186,13 @@ def _score_by_join(
         posts = posts.distinct()
     key = F.struct("tweet_id", text_key(F.col("tweet_content")).alias("text"))
     keyed = posts.where(F.size(words) > 0).withColumn("__key", key)
-    whole = isinstance(lexicon.schema["rating"].dataType, T.IntegralType)
-    rating = F.col("rating").cast("bigint" if whole else "double")
-    counted = keyed.select("__key", F.inline(word_counts(words))).toDF("__key", "word", "times")
-    rated = lexicon.where(F.col("rating").isNotNull()).select("word", "rating")
+    counted = keyed.select("__key", F.inline(word_counts(words))).toDF("__key", "word", "count")
     scores = (
         spread_join(counted, rated, "word", F.col("__key"))
         .groupBy("__key")
         .agg(
-            F.sum(rating * F.col("times")).alias("total"),
-            F.sum("times").alias("found"),
+            F.sum(F.col("total") * F.col("count")).alias("total"),
+            F.sum(F.col("times") * F.col("count")).alias("found"),
         )
     )
     return keyed.join(scores, "__key", "left").select(
@@ -195,11 +246,35 @@ def rule_sentiment(
     )
 
 
+def with_rule_sentiment(
+    df: DataFrame,
+    positive: Terms = POSITIVE_WORDS,
+    negative: Terms = NEGATIVE_WORDS,
+    text: str = "content",
+    match: str = "contains",
+    name: str = "sentiment",
+) -> DataFrame:
+    """Add ``rule_sentiment``, the words being lists or relations of any size.
+
+    Whether a word occurs is all that is asked of a relation, so no pairs are listed.
+    """
+    if not isinstance(positive, DataFrame) and not isinstance(negative, DataFrame):
+        return df.withColumn(name, rule_sentiment(F.col(text), positive, negative, match))
+    marked = with_any_match(df, positive, "__positive", text, match)
+    marked = with_any_match(marked, negative, "__negative", text, match)
+    mood = (
+        F.when(F.col("__positive"), F.lit(SENTIMENTS[0]))
+        .when(F.col("__negative"), F.lit(SENTIMENTS[1]))
+        .otherwise(F.lit(SENTIMENTS[2]))
+    )
+    return marked.select(*df.columns, mood.alias(name))
+
+
 def brand_sentiment(
     df: DataFrame,
     brands: Terms = BRANDS,
-    positive: Sequence[str] = POSITIVE_WORDS,
-    negative: Sequence[str] = NEGATIVE_WORDS,
+    positive: Terms = POSITIVE_WORDS,
+    negative: Terms = NEGATIVE_WORDS,
     text: str = "content",
     zero_fill: bool = True,
     match: str = "contains",
@@ -210,8 +285,8 @@ def brand_sentiment(
     as rows that count nothing, which needs no outer join.
     """
     mentions = keyword_pairs(df.select(text), brands, text, keyword="restaurant")
-    mood = rule_sentiment(F.col(text), positive, negative, match).alias("sentiment")
-    ones = mentions.select("restaurant", mood, F.lit(1).cast("bigint").alias("n"))
+    judged = with_rule_sentiment(mentions, positive, negative, text, match)
+    ones = judged.select("restaurant", "sentiment", F.lit(1).cast("bigint").alias("n"))
     if zero_fill:
         ones = ones.unionByName(_combinations(df, brands))
     counts = ones.groupBy("restaurant", "sentiment").agg(F.sum("n").alias("count"))

@@ -17,10 +17,10 @@ from typing import Any
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.defaults import INDEX_BYTES, INDEX_TERMS
+from postsift.defaults import INDEX_BYTES, INDEX_TERMS, INLINE_TERMS
 from postsift.functions.matching import any_match, found_in, matched_terms, needle, searchable
 from postsift.functions.text import let
 
@@ -135,10 +135,12 @@ class TermIndex:
 
 
 def local_terms(terms: Terms, match: str, fold_keyword: bool) -> list[str] | TermIndex | None:
-    """A short list as it is, a table of middle size as an index, None for a larger one."""
+    """A short list as it is, one of middle size as an index, None for a larger one."""
     listed = inline_terms(terms)
-    if listed is not None:
+    if listed is not None and len(listed) <= INLINE_TERMS:
         return listed
+    if listed is not None:
+        terms = SparkSession.active().createDataFrame([(term,) for term in listed], "term string")
     column = as_column(terms)
     size = column.agg(
         F.count_distinct("term").alias("rows"), F.sum(F.octet_length("term")).alias("size")

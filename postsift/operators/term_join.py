@@ -69,7 +69,7 @@ def _needles(terms: DataFrame, match: str, fold_keyword: bool) -> DataFrame:
             lambda part: F.struct(F.length(part).alias("size"), part.alias("part")),
         )
     )["part"]
-    return listed.withColumn("pieces", F.array(piece))
+    return written(listed.withColumn("pieces", F.array(piece)))
 
 
 def _grams(word: Column, sizes: list[int]) -> Column:
@@ -155,6 +155,8 @@ def pairs_by_words(
     blank = needles.where(F.get("pieces", F.lit(0)) == "").select(
         F.col("term"), "copies", F.length("needle").alias("__run")
     )
+    if blank.isEmpty():
+        return checked
     held = rows.withColumn("__run", F.explode(F.sequence(F.lit(0), _blank_runs(text, match))))
     blank_pairs = spread_join(held, blank, "__run", F.struct(*columns)).select(
         *columns, F.explode(repeated).alias(keyword)

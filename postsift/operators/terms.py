@@ -8,7 +8,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsift.defaults import INLINE_BYTES, INLINE_TERMS
+from postsift.defaults import INLINE_BYTES, INLINE_TERMS, SLICE_TERMS
 
 #: A list of terms, or a table of them whose first column holds the term.
 Terms = Sequence[str] | DataFrame
@@ -35,7 +35,7 @@ def inline_terms(terms: Terms) -> list[str] | None:
     return [row["term"] for row in column.collect()]
 
 
-def slices(terms: DataFrame, size: int = INLINE_TERMS) -> Iterator[list[str]]:
+def slices(terms: DataFrame, size: int = SLICE_TERMS) -> Iterator[list[str]]:
     """The table in local pieces of at most ``size`` terms."""
     rows = (row["term"] for row in as_column(terms).toLocalIterator())
     while piece := list(islice(rows, size)):

@@ -110,6 +110,16 @@ terms AS (
 )
 """
 
+_PATTERN_TABLE = """
+patterns AS (
+    SELECT split_part(p_name, ' ', 1) || '.*' || split_part(p_name, ' ', -1) AS pattern,
+           split_part(p_name, ' ', 1) || '%' || split_part(p_name, ' ', -1) AS wild FROM part
+    UNION ALL SELECT '(version|lic) ?' || s_suppkey || '[. ]?', '@mail' || s_suppkey || '_example' FROM supplier
+    UNION ALL SELECT * FROM (VALUES ('h.te', 'h_te'), ('lic[ae]', 'gre%t'), ('great|public', 'Lic'),
+        ('[xyz]{3}', '%'), ('idiot\\b', 'of the %l')) AS fixed(pattern, wild)
+)
+"""
+
 # More terms than travel inside a plan, so that the way of large tables is taken.
 _LONG_TABLE = """
 listed AS (
@@ -132,6 +142,20 @@ CASE WHEN {_any(q.POSITIVE)} THEN 'positive'
      WHEN {_any(q.NEGATIVE)} THEN 'negative' ELSE 'neutral' END
 """
 
+def _word_table(name: str, words: Iterable[str], rest: int) -> str:
+    return f"""{name} AS (
+    SELECT DISTINCT unnest(string_split(p_name, ' ')) || ' ' AS word FROM part WHERE p_partkey % 2 = {rest}
+    UNION SELECT * FROM {_list(words)}
+)"""
+
+
+_WORD_TABLES = f"{_word_table('positives', q.POSITIVE, 0)}, {_word_table('negatives', q.NEGATIVE, 1)}"
+
+_RULE_TABLE = f"""
+CASE WHEN EXISTS (SELECT 1 FROM positives WHERE {_contains("content", "word")}) THEN 'positive'
+     WHEN EXISTS (SELECT 1 FROM negatives WHERE {_contains("content", "word")}) THEN 'negative' ELSE 'neutral' END
+"""
+
 _TRIMMED = sorted({name.strip() for name in q.NAMES})
 
 _TOKENS = f"""
@@ -205,6 +229,9 @@ def oracle_sql() -> dict[str, str]:
     like_all = "lower(content) LIKE concat('%', {}, '%')"
     pattern = "regexp_full_match({}, concat('(?i).*', keyword, '.*'))"
     rows = "content, username, likeCount, retweetCount"
+    like_table = f"""{_with(_PATTERN_TABLE)}
+            SELECT id, keyword FROM posts JOIN (SELECT DISTINCT wild AS keyword FROM patterns)
+            ON {like_all.format("lower(keyword)")}"""
     return {
         "keyword_pairs": _pairs(_contains("content"), q.TERMS, "id, username, keyword"),
         "keyword_pairs_raw_case": _pairs(
@@ -227,6 +254,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, keyword FROM posts JOIN terms ON {_contains("content")}""",
         "keyword_join_pairs": f"""{_with(_TERM_TABLE)}
             SELECT id, keyword FROM posts JOIN terms ON {_contains("content")}""",
+        "keyword_regex_table": f"""{_with(_PATTERN_TABLE)}
+            SELECT id, keyword FROM posts JOIN (SELECT DISTINCT pattern AS keyword FROM patterns)
+            ON {pattern.format(_LINE)}""",
+        "keyword_like_table": like_table,
+        "keyword_like_join": like_table,
         "censor_matches": _pairs(_contains("content"), q.TERMS, rows),
         "censor_except": f"""{_with()}
             SELECT {rows} FROM posts
@@ -317,6 +349,16 @@ def oracle_sql() -> dict[str, str]:
                             WHEN {_word("hate")} OR {_word("und")} THEN 'negative'
                             ELSE 'neutral' END AS sentiment
             FROM posts""",
+        "rule_sentiment_table": f"""{_with(_WORD_TABLES)} SELECT id, {_RULE_TABLE} AS sentiment FROM posts""",
+        "brand_sentiment_table": f"""{_with(_WORD_TABLES)},
+            brands AS (SELECT * FROM {_list(q.BRANDS)} UNION SELECT s_name FROM supplier),
+            counts AS (
+                SELECT keyword, {_RULE_TABLE} AS sentiment, count(*) AS count
+                FROM posts JOIN brands ON {_contains("content")} GROUP BY ALL
+            )
+            SELECT keyword AS restaurant, s.sentiment, coalesce(count, 0) AS count
+            FROM brands CROSS JOIN (VALUES ('positive'), ('negative'), ('neutral')) s(sentiment)
+            LEFT JOIN counts USING (keyword, sentiment)""",
         "brand_sentiment": f"{_with(_brand_counts(q.BRANDS))} SELECT * FROM counts",
         "brand_sentiment_zero": f"""{_with(_brand_counts(q.BRANDS))}
             SELECT b.keyword AS restaurant, s.sentiment, coalesce(c.count, 0) AS count

@@ -387,6 +387,69 @@ def rule_sentiment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).select("id", mood.alias("sentiment"))
 
 
+def _word_table(spark: SparkSession, sf_dir: str, listed: list[str], rest: int) -> DataFrame:
+    """Rule words as a relation, with words of part names, which grow with the data."""
+    names_table = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == rest)
+    spaced = F.transform(F.split("p_name", " "), lambda word: F.concat(word, F.lit(" ")))
+    words = names_table.select(F.explode(spaced).alias("word"))
+    return words.unionByName(spark.createDataFrame([(word,) for word in listed], "word string")).distinct()
+
+
+@_query
+def rule_sentiment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule words as relations."""
+    positive, negative = (_word_table(spark, sf_dir, *given) for given in ((POSITIVE, 0), (NEGATIVE, 1)))
+    return sentiment.with_rule_sentiment(posts(spark, sf_dir), positive, negative).select("id", "sentiment")
+
+
+@_query
+def brand_sentiment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands and rule words as relations."""
+    positive, negative = (_word_table(spark, sf_dir, *given) for given in ((POSITIVE, 0), (NEGATIVE, 1)))
+    listed = spark.createDataFrame([(name,) for name in BRANDS], "restaurant string")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("restaurant"))
+    return sentiment.brand_sentiment(posts(spark, sf_dir), listed.unionByName(suppliers), positive, negative)
+
+
+def _pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns and their wildcard forms, some without a literal, more with more data."""
+    parts = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("names"))
+    first, last = F.get("names", F.lit(0)), F.element_at("names", -1)
+    listed = parts.select(F.concat(first, F.lit(".*"), last).alias("pattern"), F.concat(first, F.lit("%"), last).alias("wild"))
+    number = F.col("s_suppkey").cast("string")
+    numbered = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("(version|lic) ?"), number, F.lit("[. ]?")).alias("pattern"),
+        F.concat(F.lit("@mail"), number, F.lit("_example")).alias("wild"),
+    )
+    fixed = spark.createDataFrame(
+        [("h.te", "h_te"), ("lic[ae]", "gre%t"), ("great|public", "Lic"), ("[xyz]{3}", "%"), ("idiot\\b", "of the %l")],
+        "pattern string, wild string",
+    )
+    return listed.unionByName(numbered).unionByName(fixed)
+
+
+@_query
+def keyword_regex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More patterns than are tried one by one, as a relation."""
+    flat = posts(spark, sf_dir).select("id", one_line(F.col("content")).alias("content"))
+    patterns = _pattern_table(spark, sf_dir).select("pattern").distinct()
+    return keywords.keyword_pairs(flat, patterns, match="regex").select("id", "keyword")
+
+
+@_query
+def keyword_like_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wild = _pattern_table(spark, sf_dir).select("wild").distinct()
+    return keywords.keyword_pairs(posts(spark, sf_dir), wild, match="like").select("id", "keyword")
+
+
+@_query
+def keyword_like_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins alone, as for tables of any size."""
+    wild = _pattern_table(spark, sf_dir).select("wild").distinct()
+    flat = posts(spark, sf_dir).select("id", "content")
+    return pairs_by_words(flat, wild, match="like").select("id", "keyword")
+
+
 @_query
 def brand_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.brand_sentiment(

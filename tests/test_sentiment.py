@@ -37,9 +37,39 @@ def test_delimiters_leave_an_empty_text_without_tokens(posts, lexicon):
 
 @pytest.mark.parametrize("tokenizer", ["whitespace", "delimiters"])
 def test_the_join_scores_like_the_lookup(posts, lexicon, monkeypatch, tokenizer):
-    looked_up = rows(sentiment.lexicon_score(posts, lexicon, tokenizer=tokenizer))
+    inline = rows(sentiment.lexicon_score(posts, lexicon, tokenizer=tokenizer))
     monkeypatch.setattr(sentiment, "INLINE_WORDS", 1)
-    assert rows(sentiment.lexicon_score(posts, lexicon, tokenizer=tokenizer)) == looked_up
+    assert rows(sentiment.lexicon_score(posts, lexicon, tokenizer=tokenizer)) == inline
+    monkeypatch.setattr(sentiment, "LOOKUP_BYTES", 0)
+    assert rows(sentiment.lexicon_score(posts, lexicon, tokenizer=tokenizer)) == inline
+
+
+def test_fractions_and_repeated_words_are_looked_up_and_joined_alike(spark, posts, monkeypatch):
+    listed = [("love", 1.5), ("love", 0.25), ("my", -2.0), ("and", None), (None, 1.0), ("bad", -1.0)]
+    lexicon = spark.createDataFrame(listed, "word string, rating double")
+    scored = sentiment.lexicon_score(posts, lexicon, unique_ids=True)
+    assert "Exchange" not in plan(scored.where("tweet_id > 0"))
+    found = rows(scored)
+    assert scored.where("tweet_id = 1").first()["tweet_rating"] == (1.75 - 4) / 4
+    monkeypatch.setattr(sentiment, "LOOKUP_BYTES", 0)
+    assert rows(sentiment.lexicon_score(posts, lexicon, unique_ids=True)) == found
+
+
+@pytest.mark.parametrize("way", ["inline", "index", "join"])
+def test_rule_words_as_relations(spark, posts, monkeypatch, way):
+    positive, negative = ["love", "great", "save lives"], ["hate", "bad", "shots!"]
+    listed = posts.select("id", sentiment.rule_sentiment(F.col("content"), positive, negative).alias("m"))
+    if way != "inline":
+        monkeypatch.setattr("postsift.operators.terms.INLINE_TERMS", 1)
+    if way == "join":
+        monkeypatch.setattr("postsift.operators.term_index.INDEX_TERMS", 0)
+    tables = [spark.createDataFrame([(word,) for word in words], "word string") for words in (positive, negative)]
+    judged = sentiment.with_rule_sentiment(posts, *tables, name="m")
+    assert judged.columns == [*posts.columns, "m"]
+    assert rows(judged, "id", "m") == rows(listed)
+    brands = spark.createDataFrame([("kfc",), ("starbucks",), ("nowhere",)], "brand string")
+    want = rows(sentiment.brand_sentiment(posts, ["kfc", "starbucks", "nowhere"], positive, negative))
+    assert rows(sentiment.brand_sentiment(posts, brands, *tables)) == want
 
 
 def test_the_definition_with_joined_rows(spark, posts, lexicon):
