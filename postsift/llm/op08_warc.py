@@ -2,7 +2,8 @@
 
 Every task writes its pages to archives of bounded size, a gzip member per record, and returns one
 index row per record: file, offset, length, URL and digest. The index is written as a table first;
-readers choose rows of it, sort them by file and offset, and read neighbouring records together.
+readers choose rows of it, sort them by file and offset, and read neighbouring records together,
+in ranges that are bounded by what they unpack to.
 
 Of equal payloads of at least ``MIN_SHARED`` bytes one is stored, the others refer to it. Who is
 first is found on (page_id, digest) rows; the pages are shuffled once, by page_id, so that many
@@ -19,7 +20,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +35,11 @@ ARCHIVE_BYTES = 64 << 20
 # Records are read together if no more bytes lie between them, up to a range of so many bytes.
 GAP_BYTES = 256 << 10
 RANGE_BYTES = 8 << 20
+# However well records compress, no more of their payloads is unpacked at once, and no more of them.
+UNPACKED_BYTES = 8 << 20
+RANGE_RECORDS = 2_000
+# Payloads that a reading task gets on average.
+TASK_BYTES = 64 << 20
 
 INDEX = (
     "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, "
@@ -108,35 +114,35 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def _number(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
 def _archive_writer(folder: str, archive_bytes: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = _schema(INDEX)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         task, out, at, number = TaskContext.get(), None, 0, 0
         try:
             for pages in batches:
                 rows = []
-                for page in pages.itertuples(index=False):
+                # One page at a time: only the batch itself is held.
+                for page in zip(*pages.columns, strict=True):
+                    page_id, url, html, digest, refers_to = (value.as_py() for value in page)
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
                         name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{number}.warc.gz"
                         out, at, number = store.open_output_stream(f"{root}/{name}", compression=None), 0, number + 1
-                    page_id, refers_to = _number(page.page_id), _number(page.refers_to)
-                    payload = page.html.encode()
-                    data = gzip.compress(
-                        build_record(page_id, page.url, payload, page.payload_digest, refers_to), 6, mtime=0
-                    )
+                    payload = html.encode()
+                    data = gzip.compress(build_record(page_id, url, payload, digest, refers_to), 6, mtime=0)
                     out.write(data)
                     kind = "response" if refers_to is None else "revisit"
-                    rows.append((page_id, page.url, page.payload_digest, len(payload), kind, refers_to, name, at, len(data)))
+                    rows.append((page_id, url, digest, len(payload), kind, refers_to, name, at, len(data)))
                     at += len(data)
-                yield pd.DataFrame(rows, columns=[part.split()[0] for part in INDEX.split(", ")]).astype(
-                    {"page_id": "Int64", "refers_to": "Int64"}
-                )
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema)
         finally:
             if out is not None:
                 out.close()
@@ -167,38 +173,49 @@ def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIV
         F.col("page_id").eqNullSafe(F.col("key_id")) & (F.col("payload_digest") == F.col("key_digest")),
         "left",
     ).select("page_id", "url", "html", "payload_digest", "refers_to")
-    return written(marked.mapInPandas(_archive_writer(folder, archive_bytes), INDEX))
+    return written(marked.mapInArrow(_archive_writer(folder, archive_bytes), INDEX))
+
 
+def _ranges(rows: list[dict]) -> Iterator[list[dict]]:
+    """Sorted index rows in groups that are read at once.
 
-def _ranges(rows: list) -> Iterator[list]:
-    """Sorted index rows of one file in groups that are read at once."""
-    group: list = []
+    A group is of one file and bounded by its bytes in the archive, by the bytes of its payloads and
+    by its records. A record that is larger is a group of its own.
+    """
+    group: list[dict] = []
+    unpacked = 0
     for row in rows:
         if group:
-            end = group[-1].offset + group[-1].length
-            if row.offset - end > GAP_BYTES or row.offset + row.length - group[0].offset > RANGE_BYTES:
+            last = group[-1]
+            end = last["offset"] + last["length"]
+            if (
+                row["file"] != last["file"] or row["offset"] < end or row["offset"] - end > GAP_BYTES
+                or row["offset"] + row["length"] - group[0]["offset"] > RANGE_BYTES
+                or unpacked + row["payload_bytes"] > UNPACKED_BYTES or len(group) >= RANGE_RECORDS
+            ):
                 yield group
-                group = []
+                group, unpacked = [], 0
         group.append(row)
+        unpacked += row["payload_bytes"]
     if group:
         yield group
 
 
 def _range_reader(folder: str):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = _schema(RECORDS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        names = [part.split()[0] for part in RECORDS.split(", ")]
         for index in batches:
-            for name, rows in index.groupby("file", sort=False):
-                with store.open_input_file(f"{root}/{name}") as archive:
-                    for group in _ranges(list(rows.itertuples(index=False))):
-                        start = group[0].offset
-                        data = archive.read_at(group[-1].offset + group[-1].length - start, start)
-                        found = [
-                            parse_record(gzip.decompress(data[r.offset - start : r.offset - start + r.length]))
-                            for r in group
-                        ]
-                        yield pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            for group in _ranges(index.to_pylist()):
+                start = group[0]["offset"]
+                with store.open_input_file(f"{root}/{group[0]['file']}") as archive:
+                    data = archive.read_at(group[-1]["offset"] + group[-1]["length"] - start, start)
+                found = [
+                    parse_record(gzip.decompress(data[r["offset"] - start : r["offset"] - start + r["length"]]))
+                    for r in group
+                ]
+                yield pa.RecordBatch.from_pylist(found, schema)
 
     return read
 
@@ -207,10 +224,15 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the chosen index rows: page_id, url, type, reference, size, digest, payload.
 
     Size and digest are those of the full payload; the payload of a revisit is null and that of
-    the page it refers to. Archives are of bounded size, so no task gets more than some of them.
+    the page it refers to. Tasks get stretches of archives, as many as the payloads need; a task
+    holds one range of bounded unpacked size at a time, however well the pages compress.
     """
-    chosen = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return chosen.mapInPandas(_range_reader(folder), RECORDS)
+    stretch = F.expr(f"offset div {2 * RANGE_BYTES}").alias("stretch")
+    chosen = index.select("file", "offset", "length", "payload_bytes", stretch)
+    total = chosen.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
+    tasks = max(1, -(-total // TASK_BYTES))
+    dealt = chosen.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    return dealt.mapInArrow(_range_reader(folder), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

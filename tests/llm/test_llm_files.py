@@ -147,12 +147,34 @@ def test_warc_selection_and_empty(spark, pages):
 
 
 def test_ranges_are_joined():
-    class Row:
-        def __init__(self, offset, length):
-            self.offset, self.length = offset, length
+    def row(offset, length, payload_bytes=10, file="a"):
+        return {"file": file, "offset": offset, "length": length, "payload_bytes": payload_bytes}
 
-    rows = [Row(0, 10), Row(10, 10), Row(warc.GAP_BYTES + 30, 5), Row(warc.GAP_BYTES + 35, warc.RANGE_BYTES)]
-    assert [len(group) for group in warc._ranges(rows)] == [2, 1, 1]
+    def sizes(rows):
+        return [len(group) for group in warc._ranges(rows)]
+
+    rows = [row(0, 10), row(10, 10), row(warc.GAP_BYTES + 30, 5), row(warc.GAP_BYTES + 35, warc.RANGE_BYTES)]
+    assert sizes(rows) == [2, 1, 1]
+    # Pages that compress well are not unpacked all at once, nor are too many small ones.
+    assert sizes([row(i * 10, 10, warc.UNPACKED_BYTES // 2) for i in range(5)]) == [2, 2, 1]
+    assert sizes([row(0, 10, 3 * warc.UNPACKED_BYTES), row(10, 10)]) == [1, 1]
+    assert sizes([row(i * 10, 10) for i in range(warc.RANGE_RECORDS + 1)]) == [warc.RANGE_RECORDS, 1]
+    assert sizes([row(0, 10), row(10, 10, file="b")]) == [1, 1]
+
+
+def test_compressible_pages_are_read_in_parts_by_several_tasks(spark):
+    """3,000 pages of 40 KB that compress a hundredfold: 120 MB in 1 MB of archives."""
+    pages = spark.range(3_000).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat('one line of a page ', 2100)) AS html")
+    folder = f"file://{warc.fresh_folder(spark)}"
+    warc.fs.FileSystem.from_uri(folder)[0].create_dir(folder.removeprefix("file://"), recursive=True)
+    index = warc.write_archives(pages.coalesce(1), folder, archive_bytes=200_000)
+    found = warc.read_records(index, folder)
+    assert found.rdd.getNumPartitions() >= 2
+    assert found.selectExpr("count(*)", "sum(octet_length(payload))").first()[0] == 3_000
+    rows = sorted((r.asDict() for r in index.collect()), key=lambda r: (r["file"], r["offset"]))
+    groups = list(warc._ranges(rows))
+    assert sum(map(len, groups)) == 3_000
+    assert max(sum(r["payload_bytes"] for r in group) for group in groups) <= warc.UNPACKED_BYTES
 
 
 def test_broken_record():
