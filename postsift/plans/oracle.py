@@ -229,6 +229,9 @@ def oracle_sql() -> dict[str, str]:
     like_all = "lower(content) LIKE concat('%', {}, '%')"
     pattern = "regexp_full_match({}, concat('(?i).*', keyword, '.*'))"
     rows = "content, username, likeCount, retweetCount"
+    framed = f"""{_with()}
+            SELECT id, concat(' ', chr(9), '"a|b",', content, chr(13), chr(10), '\\"', chr(10), ' ') AS content,
+                   location FROM posts"""
     like_table = f"""{_with(_PATTERN_TABLE)}
             SELECT id, keyword FROM posts JOIN (SELECT DISTINCT wild AS keyword FROM patterns)
             ON {like_all.format("lower(keyword)")}"""
@@ -406,6 +409,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id AS id, 'good' AS kind FROM events
             UNION ALL SELECT event_id, 'bad' FROM events
             UNION ALL SELECT event_id, 'bad' FROM events""",
+        "json_dropped_lines": """
+            SELECT count(*) FILTER (event_id % 3 <> 0 AND event_id % 5 <> 0) AS kept, count(*) AS lines,
+                   count(*) FILTER (event_id % 3 = 0 OR event_id % 5 = 0) AS bad_lines FROM events""",
+        "text_in_place": """
+            SELECT p_name AS keyword, count(*) AS count, max(length(p_name) + 3)::INT AS longest FROM part
+            WHERE p_name LIKE '%ring%' GROUP BY p_name""",
+        "sql_term_views": f"""{_with()},
+            split AS (SELECT username, unnest(string_split(lower(content), ' ')) AS value FROM posts)
+            SELECT username, count(*) AS words, sum(length(value) - 6)::BIGINT AS rating FROM split
+            WHERE length(value) BETWEEN 4 AND 6 AND regexp_full_match(value, '[a-z]+') GROUP BY username""",
+        "csv_whole": framed,
+        "delimited_whole": framed,
+        "cast_fields": """
+            SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+                   TRY_CAST(json_extract_string(props, '$.k') || '.5' AS DOUBLE) AS half,
+                   TRY_CAST(event_type AS INT) AS kind FROM events""",
         "json_same_rows": """
             SELECT used, count(*) AS rows FROM events, (VALUES ('id'), ('likeCount'), ('none')) AS u(used)
             WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 GROUP BY used""",

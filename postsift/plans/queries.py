@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from postsift.functions import clean_tokens, one_line, state_of, tokens
 from postsift.operators import brands, keywords, names, places, sentiment, topics
 from postsift.operators.term_join import pairs_by_words
 from postsift.schemas import POST_COLUMNS
-from postsift.storage import fresh_folder
+from postsift.storage import fresh_folder, written
 
 from .tables import nested, posts, table
 
@@ -550,6 +550,41 @@ def json_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def text_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over lines of a file that is not registered anywhere."""
+    folder = _name_file(spark, sf_dir)
+    return spark.sql(
+        f"""
+        SELECT trim(value) AS keyword, count(*) AS count, max(length(value)) AS longest
+        FROM text.`{folder}`
+        WHERE value LIKE '%ring%'
+        GROUP BY trim(value)
+        """
+    )
+
+
+@_query
+def sql_term_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered posts, keywords and ratings in SQL: words of posts that are listed and rated."""
+    folder = _written_tweets(spark, sf_dir)
+    listed, rated = fresh_folder(spark), fresh_folder(spark)
+    words = posts(spark, sf_dir).select(F.explode(F.split(F.lower("content"), " ")).alias("value")).distinct()
+    words = words.where(F.col("value").rlike(r"\A[a-z]+\z"))
+    words.where("length(value) BETWEEN 2 AND 6").write.text(listed)
+    ratings = words.where("length(value) BETWEEN 4 AND 9")
+    ratings.select("value", F.length("value") - 6).write.csv(rated, sep="\t", quote="")
+    sources.register_views(spark, folder, {"listed_words": listed}, {"rated_words": rated})
+    return spark.sql(
+        """
+        SELECT username, count(*) AS words, sum(rating) AS rating
+        FROM (SELECT username, explode(split(lower(content), ' ')) AS value FROM tweets)
+        JOIN listed_words USING (value) JOIN rated_words ON value = word
+        GROUP BY username
+        """
+    )
+
+
 @_query
 def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered views queried in SQL: pairs of posts and listed keywords by user."""
@@ -593,6 +628,24 @@ def json_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+@_query
+def json_dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of a file are read and dropped, counted while it is read."""
+    folder = fresh_folder(spark)
+    lines = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 3 == 0, F.format_string('{"id":%d', "event_id"))
+        .when(F.col("event_id") % 5 == 0, F.format_string('{"id":"x%d"}', "event_id"))
+        .otherwise(F.format_string('{"id":%d}', "event_id")).alias("value")
+    )
+    lines.write.text(folder)
+    counts = Observation("tweets")
+    kept = written(sources.read_tweets(spark, folder, counts=counts))
+    seen = counts.get
+    return kept.agg(F.count("*").alias("kept")).select(
+        "kept", F.lit(seen["lines"]).alias("lines"), F.lit(seen["bad_lines"]).alias("bad_lines")
+    )
+
+
 @_query
 def json_same_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records of a file with bad lines are read, by the columns that are used."""
@@ -622,6 +675,38 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).csv(folder, header=True, escape='"')
 
 
+@_query
+def csv_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their line ends, blanks at the ends, quotes and missing values."""
+    folder = fresh_folder(spark)
+    rows = posts(spark, sf_dir).select("id", _framed().alias("content"), "location")
+    sinks.write_csv(rows, folder)
+    return sources.read_table(spark, folder, rows.schema)
+
+
+@_query
+def delimited_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark)
+    rows = posts(spark, sf_dir).select("id", _framed().alias("content"), "location")
+    sinks.write_delimited(rows, folder)
+    return sources.read_table(spark, folder, rows.schema, sep="|", header=False)
+
+
+def _framed() -> Column:
+    """A text with signs around it that a file could lose."""
+    return F.concat(F.lit(' \t"a|b",'), F.col("content"), F.lit('\r\n\\"\n '))
+
+
+@_query
+def cast_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read as text and cast afterwards, NULL where that fails."""
+    value = F.get_json_object("props", "$.k")
+    fields = table(spark, sf_dir, "events").select(
+        "event_id", value.alias("k"), F.concat(value, F.lit(".5")).alias("half"), F.col("event_type").alias("kind")
+    )
+    return sources.cast_columns(fields, {"k": "bigint", "half": "double", "kind": "int"})
+
+
 @_query
 def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)

@@ -24,16 +24,20 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.json(path, mode=mode)
 
 
+# Fields keep their blanks and line ends; quotes inside one are doubled.
+_WHOLE = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """With a header line; quotes inside a field are doubled, so any reader gets it whole."""
-    df.write.csv(path, mode=mode, header=True, escape='"')
+    """With a header line. ``sources.read_table`` gets every field back whole."""
+    df.write.csv(path, mode=mode, header=True, **_WHOLE)
 
 
 def write_delimited(
     df: DataFrame, path: str, sep: str = "|", mode: str = "errorifexists"
 ) -> None:
-    """Without a header line; a field that holds the delimiter is quoted."""
-    df.write.csv(path, mode=mode, header=False, sep=sep, escape='"')
+    """Without a header line; a field that holds the delimiter or a line end is quoted."""
+    df.write.csv(path, mode=mode, header=False, sep=sep, **_WHOLE)
 
 
 def write_count(df: DataFrame, path: str, name: str = "numero", mode: str = "errorifexists") -> None:
@@ -45,7 +49,7 @@ def write_ranked(
 ) -> None:
     """``key<TAB>count`` lines, most first: part files in name order are in rank order."""
     ranked = df.select(key, count).orderBy(F.desc(count), F.asc(key))
-    ranked.write.csv(path, mode=mode, sep="\t", header=False, escape='"')
+    ranked.write.csv(path, mode=mode, sep="\t", header=False, **_WHOLE)
 
 
 def write_report(
@@ -66,7 +70,7 @@ def write_split(
     """One output folder per value of ``by`` (``by=value``), all from one pass."""
     writer = df.write.partitionBy(by).mode(mode)
     if format == "csv":
-        writer.csv(path, header=True, escape='"')
+        writer.csv(path, header=True, **_WHOLE)
     elif format == "json":
         writer.json(path)
     else:

@@ -1,6 +1,7 @@
-from .lists import read_keywords, read_lexicon, read_names
+from .lists import read_keywords, read_lexicon, read_names, read_table
 from .tweets import (
     bad_lines,
+    cast_columns,
     flatten_tweets,
     parse_lines,
     read_lines,
@@ -10,12 +11,14 @@ from .tweets import (
 
 __all__ = [
     "bad_lines",
+    "cast_columns",
     "flatten_tweets",
     "parse_lines",
     "read_keywords",
     "read_lexicon",
     "read_lines",
     "read_names",
+    "read_table",
     "read_tweets",
     "register_views",
 ]

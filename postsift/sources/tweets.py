@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,13 @@ def read_tweets(
     path: str | list[str],
     on_error: str = "drop",
     schema: T.StructType = TWEET,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """One row per line. A malformed line is dropped, or fails the job with ``"fail"``.
 
+    With ``"drop"``, ``counts`` gets the numbers ``lines`` and ``bad_lines`` of the first action
+    that reads all rows, in the same pass; ``counts.get`` has them afterwards.
+
     Whether a line is malformed is decided on the whole record, whatever columns are used later:
     broken JSON, and a field of another type than the schema's, drop the line.
     """
@@ -31,9 +35,12 @@ def read_tweets(
         return spark.read.schema(schema).option("mode", _MODES[on_error]).json(path)
     # Blank lines hold no record.
     lines = read_lines(spark, path).where(F.trim("value") != "")
-    record = _checked(F.col("value"), schema).alias("record")
+    records = lines.select(_checked(F.col("value"), schema).alias("record"))
+    bad = F.col("record").getField(_BAD).isNotNull()
+    if counts is not None:
+        records = records.observe(counts, F.count("*").alias("lines"), F.count_if(bad).alias("bad_lines"))
     fields = [F.col("record").getField(name).alias(name) for name in schema.names]
-    return lines.select(record).where(F.col("record").getField(_BAD).isNull()).select(*fields)
+    return records.where(~bad).select(*fields)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -54,6 +61,14 @@ def _checked(value: Column, schema: T.StructType) -> Column:
     return F.from_json(value, checked, {"columnNameOfCorruptRecord": _BAD})
 
 
+def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Columns as other types, NULL where a value can't be read as one; the others stay."""
+    unknown = sorted(set(types) - set(df.columns))
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+    return df.withColumns({name: F.col(name).try_cast(kind) for name, kind in types.items()})
+
+
 def bad_lines(lines: DataFrame, schema: T.StructType = TWEET, value: str = "value") -> DataFrame:
     """The lines that are not valid JSON of the schema, to count or to look at."""
     return lines.where(_checked(F.col(value), schema).getField(_BAD).isNotNull())

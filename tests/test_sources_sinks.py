@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import Observation
 
 from postsift import sinks, sources
 from postsift.operators import keywords
@@ -89,3 +90,29 @@ def test_split_by_value(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     with pytest.raises(ValueError):
         sinks.write_split(df, str(tmp_path / "xml"), "sentiment", "xml")
+
+
+def test_fields_come_back_whole(spark, tmp_path):
+    texts = ["a\nb", "a\r\nb", " lead", "trail ", "\t", 'say "x"', '"', "back\\slash", 'both\\"', "a,b|c", "", None, "é x", "#no comment"]
+    df = spark.createDataFrame([(i, text, None if i % 2 else "x") for i, text in enumerate(texts)], "id bigint, content string, last string")
+    for parts in (1, 3):
+        out = str(tmp_path / str(parts))
+        sinks.write_csv(df.repartition(parts), f"{out}/csv")
+        assert rows(sources.read_table(spark, f"{out}/csv", df.schema)) == rows(df)
+        sinks.write_delimited(df.repartition(parts), f"{out}/bar")
+        assert rows(sources.read_table(spark, f"{out}/bar", df.schema, sep="|", header=False)) == rows(df)
+
+
+def test_dropped_lines_are_counted_while_reading(spark, tweet_file):
+    counts = Observation("read")
+    kept = sources.read_tweets(spark, tweet_file, counts=counts).select("id").collect()
+    assert counts.get == {"lines": 9, "bad_lines": 1} and len(kept) == 8
+
+
+def test_casts_give_null_where_they_fail(spark):
+    df = spark.createDataFrame([("1", "2.5", "x"), ("one", None, "y")], "a string, b string, c string")
+    cast = sources.cast_columns(df, {"a": "bigint", "b": "double"})
+    assert cast.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")]
+    assert rows(cast) == [(None, None, "y"), (1, 2.5, "x")]
+    with pytest.raises(ValueError, match="d, e"):
+        sources.cast_columns(df, {"e": "int", "d": "int"})
