@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from postsift.defaults import COUNTRY
@@ -142,21 +142,50 @@ def state_groups(
     every post. Posts are dealt to the rows by a hash.
     """
     found = state_matches(df, keywords, country, state, count, match, fold_keyword)
-    rows = _members(found, count, extra)
+    rows = found.select("state", *POST_COLUMNS, *extra)
     names = rows.columns
     if count == "pairs":
         # Equal rows are counted and numbered anew, so a lost task deals them as before.
         counted = rows.groupBy(*names).agg(F.count("*").alias("__copies"))
         numbered = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__copy")
         rows = counted.select(*names, numbered)
-    dealt = F.xxhash64(*[F.col(name) for name in rows.columns])
-    counts = None if extra else _counts(found, count)
-    counted = with_group_count(rows, "state", "cantidad_tweets", counts)
-    parts = F.ceil(F.col("cantidad_tweets") / F.lit(group_size))
+        counts = _counts(found, count)
+    else:
+        counts = _counts(found, count) if not extra else rows.distinct().groupBy("state").agg(F.count("*").alias("cantidad_tweets"))
+    few = counts.limit(FEW_GROUPS + 1).collect()
     post = F.struct(*[F.col(name) for name in (*POST_COLUMNS, *extra)])
-    return (
-        counted.withColumn("part", F.pmod(dealt, parts))
-        .groupBy("state", "cantidad_tweets", "part")
-        .agg(F.sort_array(F.collect_list(post)).alias("tweets"))
-        .orderBy(F.desc("cantidad_tweets"), F.asc_nulls_last("state"), "part")
+    dealt = F.xxhash64(*[F.col(name) for name in rows.columns])
+    if len(few) > FEW_GROUPS:
+        distinct = rows if count == "pairs" else rows.distinct()
+        joined = with_group_count(distinct, "state", "cantidad_tweets", counts)
+        parts = F.ceil(F.col("cantidad_tweets") / F.lit(group_size))
+        nested = joined.withColumn("part", F.pmod(dealt, parts)).groupBy("state", "cantidad_tweets", "part")
+        return nested.agg(F.sort_array(F.collect_list(post)).alias("tweets")).orderBy(
+            F.desc("cantidad_tweets"), F.asc_nulls_last("state"), "part"
+        )
+    # The places of all parts in the result are known from the counts. Texts move once, to the
+    # place of their part, where equal rows meet, are nested and stay in order.
+    ranked = df.sparkSession.createDataFrame(
+        _first_places(few, group_size), "__state string, cantidad_tweets bigint, __parts bigint, __first bigint"
+    )
+    joined = rows.join(F.broadcast(ranked), F.col("state").eqNullSafe(F.col("__state")))
+    placed = joined.withColumn("part", F.pmod(dealt, F.col("__parts"))).select(
+        (F.col("__first") + F.col("part")).alias("__place"), "state", "cantidad_tweets", "part", *rows.columns[1:]
+    )
+    spread = placed.repartitionByRange("__place")
+    kept = spread if count == "pairs" else spread.distinct()
+    nested = kept.groupBy("__place", "state", "cantidad_tweets", "part").agg(
+        F.sort_array(F.collect_list(post)).alias("tweets")
     )
+    return nested.sortWithinPartitions("__place").drop("__place")
+
+
+def _first_places(counts: list[Row], group_size: int) -> list[tuple[str | None, int, int, int]]:
+    """(state, count, parts, place of the first part), largest state first, no state last."""
+    order = sorted(counts, key=lambda row: (-row["cantidad_tweets"], row["state"] is None, (row["state"] or "").encode()))
+    places, place = [], 0
+    for row in order:
+        parts = -(-row["cantidad_tweets"] // group_size)
+        places.append((row["state"], row["cantidad_tweets"], parts, place))
+        place += parts
+    return places
