@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from conftest import rows
@@ -48,3 +49,23 @@ def test_substrings_against_brute_force(spark, users, least):
                 expected[name[start:end]] += 1
     df = spark.createDataFrame([(user,) for user in users], "username string")
     assert dict(rows(names.substring_counts(df, min_len=least))) == dict(expected)
+
+
+def test_common_substrings_of_long_names(spark):
+    """Against all substrings, with a name of 20,000 characters, one sign over and over, and ties."""
+    rng = random.Random(2)
+    users = ["".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(150)]
+    users += ["".join(rng.choice("abcdefgh") for _ in range(20_000)), "z" * 3_000, "Zzzzzzz", "", None, users[0]]
+    df = spark.createDataFrame([(user,) for user in users], "username string")
+    counts = Counter()
+    for name in {user.lower() for user in users if user}:
+        for start in range(len(name) - 4):
+            counts.update(name[start:end] for end in range(start + 5, min(start + 45, len(name)) + 1))
+    for top in (1, 7, 40):
+        want = sorted(counts.items(), key=lambda item: (-item[1], item[0]))[:top]
+        assert [tuple(row) for row in names.common_substrings(df, top=top).collect()] == want
+    few = df.where("username = 'Zzzzzzz'")
+    assert [tuple(r) for r in names.common_substrings(few, top=4).collect()] == [
+        ("zzzzz", 3), ("zzzzzz", 2), ("zzzzzzz", 1)
+    ]
+    assert names.common_substrings(df.limit(0)).collect() == []
