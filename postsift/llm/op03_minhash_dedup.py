@@ -7,7 +7,7 @@ joined to bands, and documents with an equal band are candidates.
 Documents of equal sets are one class and are linked without looking further. Within a band bucket
 no pairs are listed. First every bucket has one centre, the member with most company over all
 buckets, and all members are compared with it. What is not in one component by then can be linked
-in two ways only. Put a member's shingles outside the centre first, in order of their hashes, and
+in two ways only. Put a member's shingles outside the centre first, rare ones before frequent ones, and
 the others behind them: two sets at the threshold share one of their first |x| - ceil(0.8 |x|) + 1
 shingles. If that one is outside the centre, the two meet in a bucket of their own for it; if not,
 both hold at least 0.8 of their shingles in common with the centre, and they stay in the centre's
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ PERCENT = 80
 # times more in each further one: a bucket of n that are not linked takes log n rounds.
 SLOTS = 64
 MORE_SLOTS = 8
+# Shingles are told rare from frequent by the counts of 2 ** RARITY_BITS buckets.
+RARITY_BITS = 20
 # Shingles that are permuted at once.
 _BLOCK = 2048
 # Hashes of words that a worker keeps.
@@ -85,7 +88,8 @@ def shingle_set(text: str, n: int, hashes: _WordHashes) -> np.ndarray:
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """Circulant MinHash: minima of one permutation shifted by one place per coordinate.
 
-    Both permutations are bijections of the 32-bit numbers. No shingles give no signature.
+    The first one scatters the hashes over the 32-bit numbers, the second is a bijection of these.
+    No shingles give no signature.
     """
     scattered = (_mix64(shingles ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
     shifts = np.arange(coordinates, dtype=np.uint32)
@@ -148,10 +152,34 @@ def _verify(percent: int):
     return verify
 
 
-def _compare(percent: int):
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (_mix64(shingles) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    for sets in batches:
+        for shingles in sets["shingles"]:
+            np.add.at(total, _bucket(np.frombuffer(shingles, np.uint64)), 1)
+    seen = np.flatnonzero(total)
+    yield pd.DataFrame({"bucket": seen, "n": total[seen]})
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each of a fixed number of buckets, however many sets there are."""
+    counted = sets.select("shingles").mapInPandas(_bucket_counts, "bucket long, n long")
+    rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(1 << RARITY_BITS, np.int64)
+    found[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return found
+
+
+def _compare(percent: int, frequencies: Broadcast):
     """Per pair of a centre and a member: linked, shingles shared, the member's first other shingles.
 
-    As many as two sets at the threshold need to share one of, in order of their hashes.
+    As many as two sets at the threshold need to share one of, rare ones first: an edit that
+    thousands of members have in common comes up only in those with few edits of their own. Any
+    order that is the same for all members would do.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +192,8 @@ def _compare(percent: int):
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 shared.append(both)
                 first = len(y) + (-percent * len(y)) // 100 + 1
-                beyond.append(other[:first].astype(np.int64))
+                rare = np.lexsort((other, frequencies.value[_bucket(other)]))
+                beyond.append(other[rare[:first]].astype(np.int64))
             yield pd.DataFrame(
                 {"centre": pairs["a"], "node": pairs["b"], "linked": linked, "shared": shared, "beyond": beyond}
             )
@@ -216,8 +245,9 @@ def _linked(docs: DataFrame, classes: DataFrame, n: int, bands: int, rows: int,
     centres = members.groupBy("key").agg(_best("node")).select("key", F.col("best.node").alias("centre"))
     members = written(members.join(centres, "key").where("node <> centre"))
     first = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).dropDuplicates()
+    frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
     compared = written(_with_sets(first, sets).mapInPandas(
-        _compare(percent), "centre long, node long, linked boolean, shared int, beyond array<long>"
+        _compare(percent, frequencies), "centre long, node long, linked boolean, shared int, beyond array<long>"
     ))
     roots = _roots(compared.where("linked").select("centre", "node"), None)
     left = written(_mixed(_labelled(members, roots)).select("key", "node", "size", "company", "centre"))
