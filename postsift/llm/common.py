@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,8 @@ def bucket_of(doc_id: str, parts: int) -> Column:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; looks at no more than it needs."""
     return df.limit(rows + 1).count() <= rows
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A name like the given one that no column of a table has."""
+    return next(n for n in (f"{name}{i or ''}" for i in count()) if n.lower() not in map(str.lower, df.columns))

@@ -2,8 +2,8 @@
 
 Base spans come from three patterns and depend on the text alone. The method adds spans: a wider
 pattern proposes tokens, every candidate value is hashed and counted by distinct repositories and
-owners, and a token that few owners hold is taken for a live credential of theirs. A value that
-many owners hold is a copied example; its tokens are not added.
+owners, and a token that few of both hold is taken for a live credential of theirs. A value that
+many owners or repositories hold is a copied example; its tokens are not added.
 
 Everything is DataFrame code. Texts are scanned once; what is shuffled and written is one thin row
 per document and the hashes of its candidates. Counts are combined before they are shuffled, and a
@@ -12,12 +12,15 @@ value held by a third of all rows is reduced to one row per owner and task on th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postsift.functions.text import let
 from postsift.storage import written
 
-from .common import whole
+from .common import unused, whole
 
 
 def _either_case(word: str) -> str:
@@ -35,38 +38,66 @@ KINDS = ["assign", "access", "hex", "owned"]
 
 # The method's own candidates: long tokens with a letter and a digit.
 TOKEN = "[A-Za-z0-9_-]{20,}"
-# A value that more owners hold is a copied example.
+# A value that more owners or repositories hold is a copied example.
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
+# Signs that are passed by to find the places of a text, beyond which its signs are listed first.
+MANY_PLACES = 20_000_000
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
+def running(values: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Running results of ``step`` (a sum, a maximum) over an array of bigint, itself included.
+
+    Appending copies what is there, so it is done block by block, and then once over the blocks.
+    """
+
+    def appended(part: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(part, none, lambda held, x: F.concat(
+            held, F.array(F.when(F.size(held) > 0, step(F.element_at(held, -1), x)).otherwise(x))
+        ))
+
+    def joined(parts: Column) -> Column:
+        return let(
+            appended(F.transform(parts, lambda part: F.element_at(part, -1))),
+            lambda before: F.flatten(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(
+                F.transform(part, lambda x: step(F.get(before, i - 1), x))
+            ))),
+        )
+
+    def blocks(listed: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(listed), F.lit(1)), F.lit(block))
+        return F.transform(firsts, lambda first: appended(F.slice(listed, first, F.lit(block))))
+
+    return F.when(F.size(values) > 0, let(values, lambda listed: let(blocks(listed), joined))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
 def _with_spans(df: DataFrame, name: str, pattern: str, kind: int, group: int = 0) -> DataFrame:
     """Adds leftmost non-overlapping matches as (start, kind, end, value), in code points.
 
-    A match starts where the text between matches and the earlier matches end.
+    A match ends where the texts between matches and the matches so far end.
     """
     df = df.withColumn("found", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     df = df.withColumn(
         "value", F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else F.col("found")
     ).withColumn("between", F.when(F.size("found") > 0, F.split("text", pattern)))
-    df = df.withColumn("steps", F.arrays_zip("found", "value", "between"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.struct(
-            start.cast("bigint").alias("start"), F.lit(kind).alias("kind"),
-            end.cast("bigint").alias("end"), x["value"].alias("value"),
-        )
-        return F.struct(
-            end.cast("bigint").alias("at"),
-            F.when(x["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
-    spans = F.when(F.size("found") > 0, F.aggregate("steps", start, step)["out"]).otherwise(F.array().cast(_SPANS))
-    return df.withColumn(name, spans).drop("found", "value", "between", "steps")
+    sizes = F.transform(
+        "found", lambda x, i: (F.length(x) + F.length(F.get("between", i))).cast("bigint")
+    )
+    df = df.withColumn("ends", F.when(F.size("found") > 0, running(sizes, lambda a, x: a + x)))
+    spans = F.transform(
+        F.arrays_zip("found", "value", "ends"),
+        lambda x: F.struct(
+            (x["ends"] - F.length(x["found"])).alias("start"), F.lit(kind).alias("kind"),
+            x["ends"].alias("end"), x["value"].alias("value"),
+        ),
+    )
+    df = df.withColumn(name, F.when(F.size("found") > 0, spans).otherwise(F.array()).cast(_SPANS))
+    return df.drop("found", "value", "between", "ends")
 
 
 def _joined(spans: Column) -> Column:
@@ -106,6 +137,7 @@ def scan_secrets(
     owner: Column | None = None,
     repository: Column | None = None,
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, and what owner and repository need).
 
@@ -115,7 +147,7 @@ def scan_secrets(
     left out, whatever their names. An empty table gives an empty result.
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans; and n_owned (tokens added),
-    n_copied (candidates held by more than ``max_owners``), owned (the added spans), row_key.
+    n_copied (candidates that more than ``max_owners`` or ``max_repositories`` hold), owned (the added spans), row_key.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("\n", "source", "lang") if repository is None else repository
@@ -129,12 +161,13 @@ def scan_secrets(
         "row_key", "owner", "repository", F.sha2(F.col("span.value").cast("binary"), 256).alias("hash"), "span"
     )
     counted = ownership(found.select("hash", "owner", "repository"))
-    judged = found.join(counted, "hash")
+    copied = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    judged = found.join(counted.select("hash", copied.alias("copied")), "hash")
     added = judged.groupBy("row_key").agg(
         F.array_sort(F.collect_set(F.when(
-            (F.col("span.kind") == 3) & (F.col("owners") <= max_owners), F.col("span")
+            (F.col("span.kind") == 3) & ~F.col("copied"), F.col("span")
         ))).alias("owned"),
-        F.count_distinct(F.when(F.col("owners") > max_owners, F.struct("span.start", "span.kind"))).alias("n_copied"),
+        F.count_distinct(F.when(F.col("copied"), F.struct("span.start", "span.kind"))).alias("n_copied"),
     )
     full = thin.select("doc_id", "row_key", "base").join(added, "row_key", "left")
     full = full.withColumn("owned", F.coalesce("owned", F.array().cast(_SPANS)))
@@ -159,36 +192,53 @@ def redact(docs: DataFrame, *, mark: str = "[secret]", max_owners: int = MAX_OWN
     Base spans and added ones are replaced; spans that overlap are replaced together. Rows without
     secrets stay as they are, null texts included. Columns stay the same.
     """
+    # Names that no column of the documents has.
+    key, marks = unused("row_key", docs), unused("secret_spans", docs)
     spans = (
         scan_secrets(docs, max_owners=max_owners)
-        .select("row_key", F.sort_array(F.concat("base", "owned")).alias("secret_spans"))
-        .where(F.size("secret_spans") > 0)
-        .dropDuplicates(["row_key"])
+        .select(F.col("row_key").alias(key), F.sort_array(F.concat("base", "owned")).alias(marks))
+        .where(F.size(marks) > 0)
+        .dropDuplicates([key])
     )
-    joined = docs.withColumn("row_key", row_key()).join(spans, "row_key", "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    end = F.aggregate(
-        "secret_spans", start, step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
+    joined = docs.withColumn(key, row_key()).join(spans, key, "left")
+    hidden = joined.withColumn(
+        "text", F.when(F.col(marks).isNotNull(), _hidden(F.col("text"), F.col(marks), mark)).otherwise(F.col("text"))
     )
-    hidden = joined.withColumn("text", F.when(F.col("secret_spans").isNotNull(), end).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn(
-            "n_chars", F.when(F.col("secret_spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+            "n_chars", F.when(F.col(marks).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
         )
-    return hidden.select(*docs.columns)
+    return hidden.select(*[F.col(f"`{name}`") for name in docs.columns])
+
+
+def _hidden(text: Column, spans: Column, mark: str) -> Column:
+    """A text with spans, sorted by start, replaced; of spans that overlap there is one mark."""
+
+    def pieces(listed: Column, ends: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        def piece(span: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, i - 1))
+            return F.when(span["start"] >= before, F.concat(cut(before, span["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+        rest = cut(F.element_at(ends, -1), F.length(text).cast("bigint"))
+        return F.array_join(F.concat(F.transform(listed, piece), F.array(rest)), "")
+
+    def substring(start: Column, end: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def by_signs(listed: Column, ends: Column) -> Column:
+        return let(F.split(text, ""), lambda signs: pieces(listed, ends, lambda start, end: F.array_join(
+            F.slice(signs, (start + 1).cast("int"), (end - start).cast("int")), ""
+        )))
+
+    def hidden(ends: Column) -> Column:
+        # Finding a place takes time in proportion to it; many places are found in a list of signs.
+        far = F.size(spans).cast("bigint") * F.length(text) > MANY_PLACES
+        return F.when(far, by_signs(spans, ends)).otherwise(pieces(spans, ends, substring))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)), hidden)
 
 
-def sql(max_owners: int = MAX_OWNERS) -> str:
+def sql(max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> str:
     """The same rows in DuckDB."""
 
     def spans(kind: int, pattern: str, group: int, condition: str) -> str:
@@ -222,16 +272,17 @@ WITH docs AS (
 spans AS ({parts}
 ),
 counted AS (
-    SELECT value, count(DISTINCT owner) AS owners FROM spans JOIN docs USING (doc_id) GROUP BY value
+    SELECT value, count(DISTINCT owner) > {max_owners} OR count(DISTINCT (owner, repository)) > {max_repositories} AS copied
+    FROM spans JOIN docs USING (doc_id) GROUP BY value
 ),
-judged AS (SELECT s.*, owners, {text} AS line FROM spans s JOIN counted USING (value)),
+judged AS (SELECT s.*, copied, {text} AS line FROM spans s JOIN counted USING (value)),
 found AS (
     SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
         count(*) FILTER (kind = 2) AS n_hex,
         coalesce(string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base,
-        coalesce(string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3 OR owners <= {max_owners}), '') AS spans,
-        count(*) FILTER (kind = 3 AND owners <= {max_owners}) AS n_owned,
-        count(*) FILTER (owners > {max_owners}) AS n_copied
+        coalesce(string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3 OR NOT copied), '') AS spans,
+        count(*) FILTER (kind = 3 AND NOT copied) AS n_owned,
+        count(*) FILTER (copied) AS n_copied
     FROM judged GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
