@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsift.llm import op03_minhash_dedup, op05_quality_classifier, op06_decontamination, op09_secret_scans
-from postsift.llm.common import bucket_of, documents, labels, whole
+from postsift.llm.common import bucket_of, documents, labels, unused, whole
 from postsift.llm.op07_byte_bpe import encode_decode
 from postsift.llm.queries import byte_pairs
 from postsift.storage import written
@@ -34,10 +34,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat id and text are reduced to one; rows without an id stay.
     """
     found = op03_minhash_dedup.near_duplicates(docs, words=5)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    keyed = left.withColumn("text_key", F.xxhash64(whole("text")))
-    return keyed.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    key = unused("text_key", docs)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    keyed = docs.join(gone, "doc_id", "left_anti").withColumn(key, F.xxhash64(whole("text")))
+    return keyed.dropDuplicates(["doc_id", key]).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
