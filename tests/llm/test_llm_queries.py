@@ -98,3 +98,27 @@ def test_pipeline_runs(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     found = corpus_pipeline.run(spark, SF).collect()
     assert found and all(r["decodes"] for r in found)
+
+
+def test_pipeline_stages_on_edges(spark, edge_docs):
+    """Null ids and texts, repeated rows, columns with names of the stages' own; and no rows at all."""
+    clashing = edge_docs.selectExpr(
+        "*", "'k' AS row_key", "'m' AS secret_spans", "7 AS gone_id", "'t' AS trusted_id", "'q' AS label", "1.5 AS bands"
+    )
+    own = {name: value for name, value in clashing.first().asDict().items() if name not in ("doc_id", "text", "lang", "source", "n_chars")}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, clashing, SF).collect()
+        nothing = stage(spark, clashing.limit(0), SF)
+        assert nothing.collect() == []
+        if name == "byte_bpe":
+            assert len(rows) == clashing.count() and all(r["decodes"] for r in rows)
+            break
+        assert nothing.columns == clashing.columns
+        for row in rows:
+            assert {key: row[key] for key in own} == own
+        ids = [r["doc_id"] for r in rows]
+        if name == "minhash_dedup":
+            # The three rows with one text are two documents, of which the smaller id stays.
+            assert sorted(i for i in ids if i) == [1, 2, 3, 4, 5, 6, 9] and None in ids
+        elif name != "quality_classifier":
+            assert len(ids) == clashing.count()
