@@ -1,7 +1,9 @@
 """From raw documents to training tokens: five stages over whole tables.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
-the next stage's documents. All but the last return the columns of documents.
+the next stage's documents. All but the last return the columns of documents, whatever further ones
+there are and whatever their names. Null and empty texts are documents without words; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ LEAST_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on four fifths of the labelled ones, takes for good."""
+    """Documents that the classifier, fitted on four fifths of the labelled ones, takes for good.
+
+    Every row is judged by its own text alone: rows that repeat an id or have none, and empty texts,
+    are scored like all others. A score equal to the limit is enough.
+    """
     known = labels(spark, sf_dir).where(bucket_of("doc_id", 5) != 0)
     model = op05_quality_classifier.fit_quality(docs, known.select("doc_id", F.col("quality").alias("label")))
     return docs.where(op05_quality_classifier.quality_score(model, F.col("text")) >= LEAST_QUALITY)
@@ -41,17 +47,27 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Every row is judged by its own text: repeated rows stay or go together, null ids don't matter,
+    and texts without words hold nothing.
+    """
     return op06_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
+    """All documents, secrets replaced by a mark, one for secrets that overlap.
+
+    Rows without secrets stay as they are, null texts included; repeated rows get equal texts.
+    """
     return op09_secret_scans.redact(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to its bytes."""
+    """Ids of every text, and whether they decode to its bytes.
+
+    One row per document, with or without an id. Null and empty texts have no ids.
+    """
     encoded = encode_decode(docs, byte_pairs(spark), keep=["text"])
     return encoded.select(
         "doc_id", "n_tokens", "ids", (F.col("decoded") == whole("text").cast("binary")).alias("decodes")
