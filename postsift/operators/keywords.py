@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,22 @@ from .term_join import keys_by_words, pairs_by_words, text_key
 from .terms import Terms
 
 
-class Censored(NamedTuple):
-    matches: DataFrame
-    kept: DataFrame
+class Censored:
+    """``matches, kept``; of a table of any size each is worked out when it is first asked for."""
+
+    def __init__(self, matches: Callable[[], DataFrame], kept: Callable[[], DataFrame]):
+        self._matches, self._kept = matches, kept
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return self._matches()
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return self._kept()
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.matches, self.kept))
 
 
 def keyword_pairs(
@@ -124,7 +138,7 @@ def censor(
     else:
         matches = df.where(hit)
     kept = df.where(~hit)
-    return Censored(matches, kept.distinct() if remainder == "except" else kept)
+    return Censored(lambda: matches, lambda: kept.distinct() if remainder == "except" else kept)
 
 
 def _censor_by_join(
@@ -137,16 +151,23 @@ def _censor_by_join(
     fold_keyword: bool,
 ) -> Censored:
     """Whether a text holds a term is looked up by its key; pairs are only listed if they count."""
-    hits = written(keys_by_words(df, keywords, text, match, fold_keyword))
-    if fits_in_memory(hits):
-        hits = F.broadcast(hits)
     keyed = df.withColumn("__key", text_key(F.col(text)))
-    kept = keyed.join(hits, "__key", "left_anti").drop("__key")
-    if count == "pairs":
-        matches = pairs_by_words(df, keywords, text, match, fold_keyword, "__keyword").drop("__keyword")
-    else:
-        matches = keyed.join(hits, "__key", "left_semi").drop("__key")
-    return Censored(matches, kept.distinct() if remainder == "except" else kept)
+
+    @cache
+    def hits() -> DataFrame:
+        found = written(keys_by_words(df, keywords, text, match, fold_keyword))
+        return F.broadcast(found) if fits_in_memory(found) else found
+
+    def kept() -> DataFrame:
+        rest = keyed.join(hits(), "__key", "left_anti").drop("__key")
+        return rest.distinct() if remainder == "except" else rest
+
+    def matches() -> DataFrame:
+        if count == "pairs":
+            return pairs_by_words(df, keywords, text, match, fold_keyword, "__keyword").drop("__keyword")
+        return keyed.join(hits(), "__key", "left_semi").drop("__key")
+
+    return Censored(matches, kept)
 
 
 def with_any_match(

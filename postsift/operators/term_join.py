@@ -6,6 +6,12 @@ blank-separated word of a text that holds the term. So pieces are looked up in t
 distinct words (short strings, by their first characters), words lead to texts, and only
 the candidates are checked against the whole text.
 
+A term of three blank-separated parts or more holds whole words of the text, those between its ends.
+It is looked up by the one of them that is in the fewest texts, and not at all if one is in none, so
+that terms that share a frequent word don't all meet the texts with that word. Pieces of other terms
+are cut out of the distinct words at the lengths that pieces with the same start have, and compared
+as a whole: a start that many pieces share makes no more rows than a word has places and lengths.
+
 Patterns have pieces too: those of the literals that all their matches hold. A pattern without one
 is tried on every text, two thousand of them at a time; how many there are is logged.
 """
@@ -14,12 +20,14 @@ from __future__ import annotations
 
 import logging
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.functions.matching import found_in, matched_terms, needle, searchable
-from postsift.storage import written
+from postsift.functions.text import let
+from postsift.storage import fits_in_memory, written
 
 from .literals import like_cover, regex_cover, word_part
 from .skew import spread_join
@@ -33,6 +41,12 @@ GRAM = 3
 #: Longer words are cut, parts overlapping by the longest piece.
 LONG_WORD = 1_000
 
+#: Words that hold no piece are left out by a table of so many hashes before they are moved.
+HASHES = 1 << 24
+
+#: Marks of pieces that are a whole word of a text, and of those that are a part of one.
+WHOLE, PART = "=", "~"
+
 
 def text_key(text: Column) -> Column:
     """32 bytes that stand for a text in joins and distincts, none for a missing text.
@@ -58,34 +72,40 @@ def _pattern_pieces(match: str) -> Column:
 
 
 def _needles(terms: DataFrame, match: str, fold_keyword: bool) -> DataFrame:
-    """``term, copies, needle, pieces``."""
+    """``term, copies, needle, pieces, inner``; ``inner`` are the words between a term's ends."""
     listed = as_column(terms).groupBy("term").agg(F.count("*").alias("copies"))
     listed = listed.withColumn("needle", needle(F.col("term"), match, fold_keyword)).where("needle IS NOT NULL")
     if match in ("like", "regex"):
-        return written(listed.withColumn("pieces", _pattern_pieces(match)))
+        none = F.array().cast("array<string>")
+        return written(listed.withColumn("pieces", _pattern_pieces(match)).withColumn("inner", none))
+    parts = F.split(F.col("needle"), " ")
     piece = F.array_max(
-        F.transform(
-            F.split(F.col("needle"), " "),
-            lambda part: F.struct(F.length(part).alias("size"), part.alias("part")),
-        )
+        F.transform(parts, lambda part: F.struct(F.length(part).alias("size"), part.alias("part")))
     )["part"]
-    return written(listed.withColumn("pieces", F.array(piece)))
+    # Longer words of a text are cut.
+    between = F.filter(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))),
+        lambda part: (part != "") & (F.length(part) <= LONG_WORD),
+    )
+    return written(listed.withColumn("pieces", F.array(piece)).withColumn("inner", F.array_distinct(between)))
 
 
-def _grams(word: Column, sizes: list[int]) -> Column:
-    """Distinct substrings of the given lengths."""
+def _starts(word: Column, sizes: list[int]) -> Column:
+    """``gram, start`` of every place of a word, for grams of the given lengths."""
 
     def of_size(size: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(word) - (size - 1))
-        cut = F.transform(starts, lambda start: F.substring(word, start, F.lit(size)))
-        return F.when(F.length(word) >= size, cut).otherwise(F.array().cast("array<string>"))
+        cut = F.transform(
+            starts, lambda start: F.struct(F.substring(word, start, F.lit(size)).alias("gram"), start.alias("start"))
+        )
+        return F.when(F.length(word) >= size, cut)
 
-    return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of_size, sizes)))
+    none = F.array().cast("array<struct<gram: string, start: int>>")
+    return F.concat(none, *[F.coalesce(of_size(size), none) for size in sizes])
 
 
 def _words(text: Column, match: str, longest: int) -> Column:
     """The different words of a text, long ones in overlapping parts."""
-    words = F.array_distinct(F.split(F.lower(text) if match == "regex" else searchable(text, match), " "))
     step = LONG_WORD + longest
 
     def parts(word: Column) -> Column:
@@ -93,31 +113,88 @@ def _words(text: Column, match: str, longest: int) -> Column:
         cut = F.transform(starts, lambda start: F.substring(word, start, F.lit(step)))
         return F.when(F.length(word) > step, cut).otherwise(F.array(word))
 
-    return F.array_distinct(F.flatten(F.transform(words, parts)))
+    def cut(words: Column) -> Column:
+        long = F.exists(words, lambda word: F.length(word) > step)
+        return F.when(long, F.array_distinct(F.flatten(F.transform(words, parts)))).otherwise(words)
 
+    return let(F.array_distinct(F.split(F.lower(text) if match == "regex" else searchable(text, match), " ")), cut)
 
-def _touched(rows: DataFrame, needles: DataFrame, text: str, match: str) -> tuple[DataFrame, DataFrame]:
-    """``__key, word`` of all texts, and ``word, piece`` for the words that hold a piece."""
+
+def _by_inner_words(needles: DataFrame, counted: DataFrame) -> DataFrame:
+    """The needles with whole words of the text that are all there, to be found by the rarest one."""
+    sought = needles.where(F.size("inner") > 0).select("term", F.size("inner").alias("parts"), F.explode("inner").alias("piece"))
+    listed = sought.select("piece").distinct()
+    there = written(counted.join(listed, counted["word"] == listed["piece"]).select("piece", "texts"))
+    best = (
+        spread_join(sought, there, "piece", F.col("term"))
+        .groupBy("term")
+        .agg(F.first("parts").alias("parts"), F.count("*").alias("found"), F.min(F.struct("texts", "piece"))["piece"].alias("best"))
+        .where("parts = found")
+    )
+    best = written(best.select("term", F.array(F.concat(F.lit(WHOLE), "best")).alias("pieces")))
+    return spread_join(needles.drop("pieces"), best, "term", F.col("term"))
+
+
+def _holding(counted: DataFrame, needles: DataFrame) -> DataFrame:
+    """``word, piece`` for the distinct words that hold a piece."""
     pieces = needles.select(F.explode("pieces").alias("piece")).where("piece <> ''").distinct()
-    pieces = pieces.withColumn("gram", F.substring("piece", 1, GRAM))
+    pieces = written(pieces.withColumn("gram", F.substring("piece", 1, GRAM)))
     # At most GRAM different lengths.
-    about = pieces.agg(F.collect_set(F.length("gram")).alias("sizes"), F.max(F.length("piece")).alias("longest")).first()
-    words = rows.select("__key", F.explode(_words(F.col(text), match, about["longest"] or 0)).alias("word"))
-    words = words.where("word <> ''")
-    grams = (
-        words.select("word")
-        .distinct()
-        .select("word", F.explode(_grams(F.col("word"), sorted(about["sizes"]))).alias("gram"))
+    sizes = pieces.agg(F.collect_set(F.length("gram"))).first()[0]
+    lengths = pieces.select("gram", F.length("piece").alias("size")).distinct()
+    starts = counted.select("word", F.inline(_starts(F.col("word"), sorted(sizes))))
+    cut = (
+        spread_join(starts, written(lengths), "gram", F.struct("word", "start"))
+        .where(F.col("start") + F.col("size") <= F.length("word") + 1)
+        .select("word", F.substring("word", F.col("start"), F.col("size")).alias("piece"))
     )
-    held = spread_join(grams, pieces, "gram", F.col("word"))
-    return words, written(held.where(F.contains("word", "piece")).select("word", "piece").distinct())
+    return spread_join(written(cut.distinct()), pieces.select("piece"), "piece", F.col("word")).select("word", "piece")
+
+
+def _likely(words: DataFrame, touched: DataFrame) -> DataFrame:
+    """The words that may be in a table, by a table of hashes of fixed size."""
+
+    def place(word: str) -> Column:
+        return F.xxhash64(word).bitwiseAND(F.lit(HASHES - 1))
+
+    seen = np.zeros(HASHES, bool)
+    seen[touched.select(place("word").cast("int").alias("place")).distinct().toArrow()["place"].to_numpy()] = True
+    shared = words.sparkSession.sparkContext.broadcast(np.packbits(seen))
+
+    @F.arrow_udf("boolean")
+    def held(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return words.where(held(place("word")))
+
+
+def _touched(rows: DataFrame, needles: DataFrame, text: str, match: str) -> tuple[DataFrame, DataFrame]:
+    """``__key, piece`` of the pieces in every text, and the needles that are left, with these pieces."""
+    longest = needles.agg(F.max(F.array_max(F.transform("pieces", F.length)))).first()[0]
+    words = rows.select("__key", F.explode(_words(F.col(text), match, longest or 0)).alias("word")).where("word <> ''")
+    counted = written(words.groupBy("word").agg(F.count("*").alias("texts")))
+    by_part = needles.where(F.size("inner") == 0)
+    touched = _holding(counted, by_part).select("word", F.concat(F.lit(PART), "piece").alias("piece"))
+    marked = F.transform("pieces", lambda piece: F.when(piece == "", piece).otherwise(F.concat(F.lit(PART), piece)))
+    left = by_part.withColumn("pieces", marked)
+    if match not in ("like", "regex"):
+        by_word = _by_inner_words(needles.where(F.size("inner") > 0), counted)
+        whole = by_word.select(F.get("pieces", F.lit(0)).alias("piece")).distinct()
+        touched = touched.unionByName(whole.select(F.substring("piece", F.lit(2), F.length("piece")).alias("word"), "piece"))
+        left = left.unionByName(by_word.select(*left.columns))
+    touched = written(touched)
+    if not fits_in_memory(touched):
+        words = written(_likely(words, touched))
+    return spread_join(words, touched, "word", F.col("__key")).select("__key", "piece").distinct(), written(left)
 
 
 def _candidates(rows: DataFrame, needles: DataFrame, text: str, match: str) -> DataFrame:
     """``__key, term, needle, copies``: each text and the terms one of whose pieces it holds."""
-    words, touched = _touched(rows, needles, text, match)
-    keys = spread_join(words, touched, "word", F.col("__key")).select("__key", "piece").distinct()
-    listed = needles.select("term", "needle", "copies", F.explode("pieces").alias("piece")).where("piece <> ''")
+    keys, left = _touched(rows, needles, text, match)
+    listed = left.select("term", "needle", "copies", F.explode("pieces").alias("piece")).where("piece <> ''")
+    if not fits_in_memory(listed):
+        keys = written(keys)
     found = spread_join(keys, listed, "piece", F.col("__key")).select("__key", "term", "needle", "copies")
     return written(found.distinct() if match in ("like", "regex") else found)
 
@@ -152,7 +229,7 @@ def pairs_by_words(
     if match in ("like", "regex"):
         return _with_searched(checked, df, needles, text, match, fold_keyword, keyword)
     # Blank terms touch no word.
-    blank = needles.where(F.get("pieces", F.lit(0)) == "").select(
+    blank = needles.where((F.get("pieces", F.lit(0)) == "") & (F.size("inner") == 0)).select(
         F.col("term"), "copies", F.length("needle").alias("__run")
     )
     if blank.isEmpty():
@@ -192,13 +269,13 @@ def keys_by_words(
     """
     needles = _needles(terms, match, fold_keyword)
     rows = df.select(text).where(F.col(text).isNotNull()).withColumn("__key", text_key(F.col(text)))
-    words, touched = _touched(rows, needles, text, match)
-    listed = needles.withColumn("piece", F.explode("pieces"))
+    by_piece, left = _touched(rows, needles, text, match)
+    by_piece = written(by_piece)
+    listed = left.withColumn("piece", F.explode("pieces"))
     if match == "contains":
-        sure = listed.where("needle = piece AND piece <> ''").select("piece").distinct()
+        sure = listed.where(F.col("piece") == F.concat(F.lit(PART), "needle")).where("needle <> ''").select("piece").distinct()
     else:
         sure = listed.where(F.lit(False)).select("piece")
-    by_piece = written(spread_join(words, touched, "word", F.col("__key")).select("__key", "piece").distinct())
     settled = written(spread_join(by_piece, sure, "piece", F.col("__key")).select("__key").distinct())
     open_keys = by_piece.join(settled, "__key", "left_anti")
     unsure = listed.where("piece <> ''").select("needle", "piece").distinct()
@@ -214,7 +291,7 @@ def keys_by_words(
             found = matched_terms(F.col(text), part, match, fold_keyword)
             hits = hits.unionByName(rows.where(F.size(found) > 0).select("__key"))
         return hits.distinct()
-    shortest = listed.where("piece = ''").agg(F.min(F.length("needle"))).first()[0]
+    shortest = left.where(F.get("pieces", F.lit(0)) == "").agg(F.min(F.length("needle"))).first()[0]
     if shortest is not None:
         hits = hits.unionByName(rows.where(_blank_runs(text, match) >= shortest).select("__key"))
     return hits.distinct()

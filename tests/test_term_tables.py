@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from postsift.operators import keywords, skew
+from postsift.operators import keywords, skew, term_join
 from postsift.operators.literals import like_cover, regex_cover, word_part
 from postsift.operators.term_index import TermIndex
 from postsift.operators.term_join import keys_by_words, pairs_by_words
@@ -126,3 +126,59 @@ def test_a_hot_word_is_spread(spark, texts):
     assert joined.count() == total
     sizes = [r["n"] for r in joined.repartition(partitions, "word", "__salt").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def joined_rows(monkeypatch, module):
+    """The numbers of rows that the joins of a module make, as they are made."""
+    made = []
+
+    def counted(*given):
+        joined = skew.spread_join(*given)
+        made.append(joined.count())
+        return joined
+
+    monkeypatch.setattr(module, "spread_join", counted)
+    return made
+
+
+def test_pieces_with_the_same_start_are_not_all_compared_with_a_word(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"customs{i} by customer#{i:09d}.") for i in range(300)], "id bigint, content string")
+    table = table_of(spark, [f"Customer#{i:09d}" for i in range(0, 3_000, 2)])
+    made = joined_rows(monkeypatch, term_join)
+    found = pairs_by_words(texts, table).select("id", "keyword").collect()
+    assert sorted(found) == [(i, f"Customer#{i:09d}") for i in range(0, 300, 2)]
+    assert max(made) <= 600
+
+
+def test_terms_that_share_a_frequent_word_are_found_by_their_rarest_one(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"a large ring {i} of enlarged ring {i}0 x") for i in range(200)], "id bigint, content string")
+    table = table_of(spark, [f"Large ring {i} " for i in range(2_000)] + ["rge  ring 1 ", "ring 1 of", "ring 1 on"])
+    made = joined_rows(monkeypatch, term_join)
+    found = {(r["id"], r["keyword"]) for r in pairs_by_words(texts, table).collect()}
+    want = {(i, f"Large ring {i} ") for i in range(200)} | {(1, "ring 1 of")}
+    assert found == want
+    # The 2,000 terms, each by two words; 200 texts and the 220 terms whose words are there.
+    assert max(made) <= 4_000
+    assert keys_by_words(texts, table).count() == 200
+
+
+def test_censoring_lists_no_pairs_for_what_is_kept(spark, texts, monkeypatch):
+    table = table_of(spark, ["common", "the end"])
+    want = rows(keywords.censor(texts, table, "anti").kept)
+    monkeypatch.setattr(keywords, "local_terms", lambda *_: None)
+    listed = []
+    monkeypatch.setattr(keywords, "pairs_by_words", lambda *given: listed.append(given) or pairs_by_words(*given))
+    parts = keywords.censor(texts, table, "anti")
+    assert rows(parts.kept) == want and not listed
+    assert parts.matches.count() and len(listed) == 1
+
+
+def test_words_that_hold_no_piece_are_not_moved(spark, texts, monkeypatch):
+    table = table_of(spark, ["w13x", "the end", "common w1x "])
+    want = rows(pairs_by_words(texts, table))
+    monkeypatch.setattr(term_join, "fits_in_memory", lambda _: False)
+    sent = []
+    monkeypatch.setattr(term_join, "_likely", lambda words, touched, likely=term_join._likely: sent.append(likely(words, touched)) or sent[-1])
+    assert rows(pairs_by_words(texts, table)) == want
+    assert {r["word"] for r in sent[0].select("word").distinct().collect()} >= {"w13x", "the"}
+    assert sent[0].where("word = 'common'").isEmpty()
