@@ -7,13 +7,14 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsift.defaults import BRANDS, NEGATIVE_WORDS, POSITIVE_WORDS, SENTIMENTS
 from postsift.functions.matching import any_match
-from postsift.functions.text import let, tokens, word_counts
+from postsift.functions.text import let, tokens
 from postsift.storage import written
 
 from .keywords import keyword_pairs, with_any_match
@@ -39,22 +40,21 @@ def unique_words(lexicon: DataFrame) -> DataFrame:
     return lexicon
 
 
-def _inline_ratings(lexicon: DataFrame) -> dict[int, list[str]] | None:
+def _inline_ratings(rated: DataFrame) -> dict[int, list[str]] | None:
     """Words by rating, or None when the list cannot be looked up inside the scan stage."""
-    if not isinstance(lexicon.schema["rating"].dataType, T.IntegralType):
+    if not isinstance(rated.schema["total"].dataType, T.IntegralType):
         return None
-    rated = lexicon.where(F.col("word").isNotNull() & F.col("rating").isNotNull())
     size = rated.agg(
-        F.count("*").alias("rows"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest")
+        F.count("*").alias("rows"),
+        F.coalesce(F.max(F.length("word")), F.lit(0)).alias("longest"),
+        F.coalesce(F.max("times"), F.lit(1)).alias("times"),
     ).first()
-    if size["rows"] > INLINE_WORDS or size["longest"] > 200:
+    if size["rows"] > INLINE_WORDS or size["longest"] > 200 or size["times"] > 1:
         return None
-    rows = rated.collect()
     by_rating: dict[int, list[str]] = {}
-    for row in rows:
-        by_rating.setdefault(row["rating"], []).append(row["word"])
-    twice = len({row["word"] for row in rows}) < len(rows)
-    if twice or len(by_rating) > 50 or any("\\" in row["word"] for row in rows):
+    for row in rated.collect():
+        by_rating.setdefault(row["total"], []).append(row["word"])
+    if len(by_rating) > 50 or any("\\" in word for words in by_rating.values() for word in words):
         return None
     return {rating: sorted(words) for rating, words in sorted(by_rating.items())}
 
@@ -109,9 +109,9 @@ def lexicon_score(
     """
     posts = df.select(F.col(id).alias("tweet_id"), F.col(text).alias("tweet_content"))
     words = tokens(F.col("tweet_content"), tokenizer)
-    by_rating = _inline_ratings(lexicon)
-    rated = _rated(lexicon) if by_rating is None else None
-    looked_up = None if rated is None else _lookup(rated)
+    rated = _rated(lexicon)
+    by_rating = _inline_ratings(rated)
+    looked_up = _lookup(rated) if by_rating is None else None
     if by_rating is None and looked_up is None:
         return _score_by_join(posts, rated, words, unique_ids)
     if unique_ids is None:
@@ -145,59 +145,99 @@ def _lookup(rated: DataFrame) -> Callable[[Column], Column] | None:
     Words are looked up a batch of texts at a time; nothing is exploded or shuffled. None for a
     table that was measured to be larger than ``LOOKUP_BYTES``.
     """
-    size = rated.agg(
-        F.coalesce(F.sum(F.octet_length("word") + F.lit(24)), F.lit(0)).alias("size")
-    ).first()["size"]
+    size = rated.agg(F.coalesce(F.sum(_row_bytes()), F.lit(0)).alias("size")).first()["size"]
     if size > LOOKUP_BYTES:
         return None
-    table = rated.toArrow().combine_chunks()
-    shared = rated.sparkSession.sparkContext.broadcast(table)
+    shared = _shared(rated)
 
     @F.arrow_udf("double")
     def mean(words: pa.Array) -> pa.Array:
-        known = shared.value
-        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-        listed = known["word"].combine_chunks()
-        place = pc.fill_null(pc.index_in(words.flatten(), value_set=listed), -1).to_numpy(zero_copy_only=False)
-        text_of = np.repeat(np.arange(len(words)), sizes)[place >= 0]
-        place = place[place >= 0]
-        found = np.zeros(len(words), np.int64)
-        np.add.at(found, text_of, known["times"].to_numpy()[place])
-        total = known["total"].to_numpy()
-        sums = np.zeros(len(words), total.dtype)
-        np.add.at(sums, text_of, total[place])
+        sums, found, _ = _looked_up(shared.value, words)
         return pa.array(sums / np.maximum(found, 1), mask=found == 0)
 
     return mean
 
 
+def _row_bytes() -> Column:
+    return F.octet_length("word") + F.lit(24)
+
+
+def _shared(rated: DataFrame) -> Broadcast:
+    return rated.sparkSession.sparkContext.broadcast(rated.toArrow().combine_chunks())
+
+
+def _looked_up(known: pa.Table, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Per list of words the sum and number of the known ones' ratings, and the list of the others."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    flat = words.flatten()
+    place = pc.fill_null(pc.index_in(flat, value_set=known["word"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+    text_of = np.repeat(np.arange(len(words)), sizes)
+    there = place >= 0
+    found = np.zeros(len(words), np.int64)
+    np.add.at(found, text_of[there], known["times"].to_numpy()[place[there]])
+    total = known["total"].to_numpy()
+    sums = np.zeros(len(words), total.dtype)
+    np.add.at(sums, text_of[there], total[place[there]])
+    starts = np.append(0, np.cumsum(np.bincount(text_of[~there], minlength=len(words))))
+    others = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat.filter(pa.array(~there)).cast(pa.string()))
+    return sums, found, others
+
+
 def _score_by_join(
     posts: DataFrame, rated: DataFrame, words: Column, unique_ids: bool | None
 ) -> DataFrame:
     """The same for a lexicon of any size.
 
-    Words travel without their text, counted inside their row. Equal (id, content) rows
-    share a key; adding up their words twice leaves the mean as it is. Only if an id repeats
-    are whole texts compared.
+    The words that are in the texts most often are looked up inside the row, as many as fit into
+    ``LOOKUP_BYTES``, rated or not; only the others are joined, without their text. So no word that
+    is joined has many rows. Equal (id, content) rows share a key; adding up their words twice leaves
+    the mean as it is. Only if an id repeats are whole texts compared.
     """
     if unique_ids is None:
         unique_ids = not _repeats(posts, "tweet_id")
     if not unique_ids:
         posts = posts.distinct()
     key = F.struct("tweet_id", text_key(F.col("tweet_content")).alias("text"))
-    keyed = posts.where(F.size(words) > 0).withColumn("__key", key)
-    counted = keyed.select("__key", F.inline(word_counts(words))).toDF("__key", "word", "count")
+    keyed = posts.where(F.col("tweet_content").isNotNull()).withColumn("__key", key)
+    common, rare = _by_frequency(keyed.select(F.explode(words).alias("word")), rated)
+    shared = _shared(common)
+    kind = "bigint" if isinstance(rated.schema["total"].dataType, T.IntegralType) else "double"
+
+    @F.arrow_udf(f"struct<total: {kind}, found: bigint, others: array<string>>")
+    def partly(words: pa.Array) -> pa.Array:
+        sums, found, others = _looked_up(shared.value, words)
+        return pa.StructArray.from_arrays([pa.array(sums), pa.array(found), others], ["total", "found", "others"])
+
+    part = written(keyed.where(F.size(words) > 0).select("__key", partly(words).alias("part")).select("__key", "part.*"))
+    joined = spread_join(part.select("__key", F.explode("others").alias("word")), rare, "word", F.col("__key"))
     scores = (
-        spread_join(counted, rated, "word", F.col("__key"))
+        part.select("__key", "total", "found")
+        .unionByName(joined.select("__key", "total", F.col("times").alias("found")))
         .groupBy("__key")
-        .agg(
-            F.sum(F.col("total") * F.col("count")).alias("total"),
-            F.sum(F.col("times") * F.col("count")).alias("found"),
-        )
+        .agg(F.sum("total").alias("total"), F.sum("found").alias("found"))
     )
-    return keyed.join(scores, "__key", "left").select(
-        "tweet_id", "tweet_content", (F.col("total") / F.col("found")).alias("tweet_rating")
+    rating = F.when(F.col("found") > 0, F.col("total") / F.col("found"))
+    return keyed.join(scores, "__key").select("tweet_id", "tweet_content", rating.alias("tweet_rating"))
+
+
+def _by_frequency(words: DataFrame, rated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, total, times`` of the most frequent words, also unrated ones, and of the other rated ones."""
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    level = F.floor(4 * F.log2("n")).cast("int").alias("level")
+    held = written(
+        counts.join(rated, "word", "left")
+        .select("word", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("times", F.lit(0)).alias("times"), level)
     )
+    sizes = held.groupBy("level").agg(F.sum(_row_bytes()).alias("size")).orderBy(F.desc("level")).collect()
+    least, size = None, 0
+    for row in sizes:
+        size += row["size"]
+        if size > LOOKUP_BYTES:
+            break
+        least = row["level"]
+    common = F.lit(False) if least is None else F.col("level") >= least
+    table = held.select("word", "total", "times")
+    return table.where(common), table.where(~common & (F.col("times") > 0))
 
 
 def label(rating: Column, unscored: str = "negative") -> Column:

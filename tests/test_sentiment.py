@@ -2,7 +2,7 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from postsift.operators import sentiment
+from postsift.operators import sentiment, skew
 
 
 @pytest.fixture
@@ -135,3 +135,23 @@ def test_words_with_quotes_and_backslashes(spark):
     assert sentiment.lexicon_score(df, quoted).first()["tweet_rating"] == -1.0
     slashed = spark.createDataFrame([("a\\b", 2)], "word string, rating int")
     assert sentiment.lexicon_score(df, slashed).first()["tweet_rating"] == 2.0
+
+
+def test_frequent_words_are_looked_up_and_only_rare_ones_joined(spark, monkeypatch):
+    texts = spark.createDataFrame(
+        [(i, f"the love love of{i} x{i}") for i in range(300)] + [(900, "none here"), (901, ""), (902, None), (1, "the love love of1 x1")],
+        "id bigint, content string",
+    )
+    lexicon = spark.createDataFrame([("love", 3), *((f"x{i}", i) for i in range(300))], "word string, rating int")
+    monkeypatch.setattr(sentiment, "INLINE_WORDS", 1)
+    want = rows(sentiment.lexicon_score(texts, lexicon))
+    monkeypatch.setattr(sentiment, "LOOKUP_BYTES", 100)
+    made = []
+
+    def counted(left, *given):
+        made.append({r["word"] for r in left.select("word").collect()})
+        return skew.spread_join(left, *given)
+
+    monkeypatch.setattr(sentiment, "spread_join", counted)
+    assert rows(sentiment.lexicon_score(texts, lexicon)) == want and len(want) == 302
+    assert "x7" in made[0] and not {"love", "the"} & made[0]
