@@ -87,6 +87,9 @@ def bag_of_words(docs: DataFrame, id: str = "id", tokens: str = "tokens") -> Dat
 #: Bags are worked on in blocks of about so many (text, word) entries.
 BLOCK_ENTRIES = 200_000
 
+#: Texts are adjusted together in batches of about so many.
+BATCH_ENTRIES = 10_000
+
 #: Words of a topic are ranked by their weight to so many decimals, then by name.
 WEIGHT_DECIMALS = 9
 
@@ -147,16 +150,38 @@ def _bags_of(tokens: pa.Array, words: pa.Array) -> tuple[_Bags, np.ndarray]:
     return _Bags(key % max(len(words), 1), counts, starts), texts
 
 
-def _adjusted(bags: _Bags, weights: np.ndarray, smoothing: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Topic sizes of each text, and how each entry's words are dealt to the topics."""
-    text_of = np.repeat(np.arange(len(bags.starts)), np.diff(np.append(bags.starts, len(bags.words))))
-    likely = weights.T[bags.words]
-    sizes = np.ones((len(bags.starts), len(weights)))
-    dealt = likely
-    for _ in range(steps):
-        dealt = sizes[text_of] * likely
-        dealt *= (bags.counts / dealt.sum(axis=1))[:, None]
-        sizes = smoothing + np.add.reduceat(dealt, bags.starts, axis=0)
+def _adjusted(bags: _Bags, by_word: np.ndarray, smoothing: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Topic sizes of each text, and how each entry's words are dealt to the topics.
+
+    ``by_word`` are the weights, one row per word. Texts of about the same length are adjusted
+    together, as matrices that stay in the processor's cache over all steps; what a step deals is
+    only listed for the last one.
+    """
+    lengths = np.diff(np.append(bags.starts, len(bags.words)))
+    order = np.argsort(lengths, kind="stable")
+    sizes = np.ones((len(lengths), by_word.shape[1]))
+    dealt = np.empty((len(bags.words), by_word.shape[1]))
+    low = 0
+    while low < len(order):
+        most = order[low : low + max(1, BATCH_ENTRIES // lengths[order[low]])]
+        texts = most[: max(1, BATCH_ENTRIES // lengths[most[-1]])]
+        low += len(texts)
+        place = np.arange(lengths[texts[-1]])
+        inside = place < lengths[texts][:, None]
+        entry = np.where(inside, bags.starts[texts][:, None] + place, 0)
+        likely = by_word[bags.words[entry]]
+        likely[~inside] = 1
+        counts = np.where(inside, bags.counts[entry], 0)
+        now = before = np.ones((len(texts), by_word.shape[1]))
+        ratio = np.ones(entry.shape)
+        for _ in range(steps):
+            before = now
+            ratio = counts / np.matmul(likely, before[:, :, None])[:, :, 0]
+            now = smoothing + before * np.matmul(ratio[:, None, :], likely)[:, 0, :]
+        likely *= ratio[:, :, None]
+        likely *= before[:, None, :]
+        sizes[texts] = now
+        dealt[entry[inside]] = likely[inside]
     return sizes, dealt
 
 
@@ -188,12 +213,13 @@ def _dealt_words(bags: DataFrame, weights: np.ndarray, smoothing: float, steps:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, size))
+        by_word = np.ascontiguousarray(shared.value.T)
         for batch in batches:
             lists = batch.column(0)
             starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))[:-1]
             whole = _Bags(lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy(), starts)
             for block in whole.blocks(chunk):
-                _, dealt = _adjusted(block, shared.value, smoothing, steps)
+                _, dealt = _adjusted(block, by_word, smoothing, steps)
                 for topic in range(k):
                     total[topic] += np.bincount(block.words, dealt[:, topic], size)
         seen = np.flatnonzero(total.any(axis=0))
@@ -240,7 +266,8 @@ def fit_topics(
     """
     docs = tokenized(df, text, stop)
     known = docs if sample is None else sample_rows(docs.select(id, "tokens"), sample, id)
-    terms = vocabulary(known, "tokens", min_docs, max_share)
+    # Counted and ranked below.
+    terms = written(vocabulary(known, "tokens", min_docs, max_share))
     # The model holds its words anyway. In a fixed order two fits start alike.
     kept = terms.orderBy(F.desc("docs"), F.asc("term")).limit(max_vocabulary).collect()
     if len(kept) == max_vocabulary:
@@ -305,9 +332,10 @@ def assign_topics(
         fitted = shared.value
         bags, texts = _bags_of(tokens, pa.array(fitted.words, pa.string()))
         best = np.full(len(tokens), -1, np.int32)
+        by_word = np.ascontiguousarray(fitted.weights.T)
         at = 0
         for block in bags.blocks(CHUNK):
-            sizes, _ = _adjusted(block, fitted.weights, fitted.smoothing, fitted.steps)
+            sizes, _ = _adjusted(block, by_word, fitted.smoothing, fitted.steps)
             best[texts[at : at + len(sizes)]] = sizes.argmax(axis=1)
             at += len(sizes)
         return pa.array(best, mask=best < 0)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -142,3 +143,22 @@ def test_weights_as_a_table(spark, model):
     assert [row["term"] for row in table.orderBy("place").collect()] == list(model.words)
     total = table.select(F.explode("weights").alias("w")).agg(F.sum("w")).first()[0]
     assert total == pytest.approx(3)
+
+
+def test_texts_adjusted_together_are_adjusted_as_one_by_one(monkeypatch):
+    made = np.random.default_rng(3)
+    lengths = made.integers(1, 60, 80)
+    words = np.concatenate([made.choice(200, size, replace=False) for size in lengths])
+    starts = np.append(0, np.cumsum(lengths))[:-1]
+    counts = made.integers(1, 5, len(words))
+    by_word = np.ascontiguousarray(topics.first_weights(7, 200, 11).T)
+    monkeypatch.setattr(topics, "BATCH_ENTRIES", 100)
+    sizes, dealt = topics._adjusted(topics._Bags(words, counts, starts), by_word, 0.1, 8)
+    for text, (start, size) in enumerate(zip(starts, lengths)):
+        entry = slice(start, start + size)
+        now = np.ones(7)
+        for _ in range(8):
+            each = now * by_word[words[entry]]
+            each *= (counts[entry] / each.sum(axis=1))[:, None]
+            now = 0.1 + each.sum(axis=0)
+        assert np.allclose(now, sizes[text], rtol=1e-12) and np.allclose(each, dealt[entry], rtol=1e-12)
