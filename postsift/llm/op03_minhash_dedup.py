@@ -10,11 +10,12 @@ buckets, and all members are compared with it. What is not in one component by t
 in two ways only. Put a member's shingles outside the centre first, rare ones before frequent ones, and
 the others behind them: two sets at the threshold share one of their first |x| - ceil(0.8 |x|) + 1
 shingles. If that one is outside the centre, the two meet in a bucket of their own for it; if not,
-both hold at least 0.8 of their shingles in common with the centre, and they stay in the centre's
-bucket. Both kinds of buckets are gone through in rounds: some members
+they share no more than the lesser of what each has in common with the centre, and stay in its
+buckets only if that can do for one of another component. Which members stay open is found once per
+centre, not once per band. Both kinds of buckets are gone through in rounds: some members
 are compared with all others that pass, then leave. Rounds go on until every two members of a bucket
 are in one component, have been compared, or can't be linked. So a bucket of any size is treated
-whole, and one large group of near copies costs few comparisons more than it has members.
+whole, and what a large group of near copies was compared with once does not keep it in its buckets.
 
 A pair at the threshold shares a band of 40 with a probability of 0.999995.
 """
@@ -194,9 +195,10 @@ def _compare(percent: int, frequencies: Broadcast):
                 first = len(y) + (-percent * len(y)) // 100 + 1
                 rare = np.lexsort((other, frequencies.value[_bucket(other)]))
                 beyond.append(other[rare[:first]].astype(np.int64))
-            yield pd.DataFrame(
-                {"centre": pairs["a"], "node": pairs["b"], "linked": linked, "shared": shared, "beyond": beyond}
-            )
+            yield pd.DataFrame({
+                "centre": pairs["a"], "node": pairs["b"], "size": pairs["size"], "company": pairs["company"],
+                "linked": linked, "shared": shared, "beyond": beyond,
+            })
 
     return compare
 
@@ -223,6 +225,31 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return labelled.join(ends.where("low < high").select("key"), "key", "left_semi")
 
 
+def _within_reach(known: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Members (centre, node, size, shared, root) that may be linked with one of another component inside the centre.
+
+    Two sets that share nothing outside the centre share at most what each shares with it, so a
+    member has room for sets up to some size, and either has to have room for the other. The least
+    size and the most room are taken of the centre's own component and of all others: where the
+    former is large and the others differ much from the centre, few of it are left.
+    """
+    room = (100 + percent) * F.col("shared") - percent * F.col("size")
+    near = known.where(100 * F.col("shared") >= percent * F.col("size")).withColumn("room", room)
+    parts = near.groupBy("centre", "root").agg(F.min("size").alias("least"), F.max("room").alias("most"))
+    own = _labelled(parts.select(F.col("centre").alias("node")).dropDuplicates(), roots)
+    parts = parts.join(own.select(F.col("node").alias("centre"), F.col("root").alias("own")), "centre")
+    sides = {"in": F.col("root") == F.col("own"), "out": F.col("root") != F.col("own")}
+    ends = parts.groupBy("centre", "own").agg(*[
+        end(F.when(side, F.col(name))).alias(f"{name}_{at}")
+        for at, side in sides.items() for end, name in ((F.min, "least"), (F.max, "most"))
+    ])
+    meets = {
+        at: (percent * F.col(f"least_{at}") <= F.col("room")) & (F.col(f"most_{at}") >= percent * F.col("size"))
+        for at in sides
+    }
+    return near.join(ends, "centre").where(meets["out"] | (sides["out"] & meets["in"]))
+
+
 def _roots(found: DataFrame, roots: DataFrame | None) -> DataFrame | None:
     """Components with the links just found."""
     if found.isEmpty():
@@ -244,24 +271,19 @@ def _linked(docs: DataFrame, classes: DataFrame, n: int, bands: int, rows: int,
 
     centres = members.groupBy("key").agg(_best("node")).select("key", F.col("best.node").alias("centre"))
     members = written(members.join(centres, "key").where("node <> centre"))
-    first = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).dropDuplicates()
+    first = members.select(F.col("centre").alias("a"), F.col("node").alias("b"), "size", "company").dropDuplicates()
     frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
     compared = written(_with_sets(first, sets).mapInPandas(
-        _compare(percent, frequencies), "centre long, node long, linked boolean, shared int, beyond array<long>"
+        _compare(percent, frequencies),
+        "centre long, node long, size long, company long, linked boolean, shared int, beyond array<long>",
     ))
     roots = _roots(compared.where("linked").select("centre", "node"), None)
-    left = written(_mixed(_labelled(members, roots)).select("key", "node", "size", "company", "centre"))
-    by_centre = left.join(
-        compared.select("centre", "node", "shared"), ["centre", "node"]
-    ).where(100 * F.col("shared") >= percent * F.col("size"))
-    by_shingle = (
-        left.select("centre", "node", "size", "company").dropDuplicates()
-        .join(compared.select("centre", "node", "beyond"), ["centre", "node"])
-        .withColumn("shingle", F.explode("beyond"))
-        .select(
-            F.xxhash64("centre", "shingle").alias("key"), "node", "size", "company",
-            F.lit(None).cast("int").alias("shared"),
-        )
+    known = written(_mixed(_labelled(compared.drop("linked").withColumn("key", F.col("centre")), roots)).drop("key"))
+    by_centre = members.join(
+        _within_reach(known, roots, percent).select("centre", "node", "size", "shared"), ["centre", "node", "size"]
+    )
+    by_shingle = known.withColumn("shingle", F.explode("beyond")).select(
+        F.xxhash64("centre", "shingle").alias("key"), "node", "size", "company", F.lit(None).cast("int").alias("shared")
     )
     members = by_centre.select("key", "node", "size", "company", "shared").unionByName(by_shingle)
     while True:

@@ -113,6 +113,34 @@ def test_one_large_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(docs, 2)
 
 
+def test_members_of_a_large_group_leave_its_buckets(spark, monkeypatch):
+    """Rows that stay in buckets with more than one component, over all rounds."""
+    opened, mixed = [], minhash._mixed
+
+    def counted(labelled):
+        opened.append(mixed(labelled).count())
+        return mixed(labelled)
+
+    monkeypatch.setattr(minhash, "_mixed", counted)
+    docs = near_copies(4, 1, 300, 150, 24)
+    found = minhash.near_duplicates(docs_of(spark, docs), words=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(docs, 2)
+    assert sum(opened) < 24 * len(docs), opened
+
+
+def test_excerpts_of_one_text(spark):
+    """Sets inside the centre's, of many sizes: linked with each other, though not with the centre."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(200)]
+    docs = []
+    for _ in range(60):
+        start, length = random.randint(0, 120), random.randint(60, 200)
+        docs.append(" ".join(words[start : start + length] + [f"x{random.randint(0, 50)}"] * random.randint(0, 1)))
+    docs = list(enumerate(docs))
+    found = minhash.near_duplicates(docs_of(spark, docs), words=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(docs, 2)
+
+
 def test_near_duplicate_edges(spark, edge_docs):
     found = {}
     for row in minhash.near_duplicates(edge_docs).collect():
