@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from postsift.storage import written
 
-from .common import whole
+from .common import parts, whole
 from .components import components
 
 BANDS = 40
@@ -49,7 +49,7 @@ RARITY_BITS = 20
 # Shingles that are permuted at once.
 _BLOCK = 2048
 # Hashes of words that a worker keeps.
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 100_000
 
 SETS = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
@@ -118,7 +118,7 @@ def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
 def _sketches(n: int, bands: int, rows: int):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
-        for docs in batches:
+        for docs in (part for batch in batches for part in parts(batch, "text")):
             out = []
             for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
                 found = shingle_set(text, n, hashes)
@@ -132,7 +132,7 @@ def _sketches(n: int, bands: int, rows: int):
 def _set_rows(n: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
-        for docs in batches:
+        for docs in (part for batch in batches for part in parts(batch, "text")):
             yield pd.DataFrame({
                 "node": docs["doc_id"], "shingles": [shingle_set(text, n, hashes).tobytes() for text in docs["text"]]
             })
@@ -142,7 +142,7 @@ def _set_rows(n: int):
 
 def _verify(percent: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
+        for pairs in (part for batch in batches for part in parts(batch, "set_a", "set_b")):
             keep = []
             for a, b in zip(pairs["set_a"], pairs["set_b"], strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -184,7 +184,7 @@ def _compare(percent: int, frequencies: Broadcast):
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in batches:
+        for pairs in (part for batch in batches for part in parts(batch, "set_a", "set_b")):
             linked, shared, beyond = [], [], []
             for a, b in zip(pairs["set_a"], pairs["set_b"], strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import parts, whole
 
 MAX_ROWS = 20_000
 BINS = 32
@@ -218,7 +218,7 @@ def quality_score(model: Additive, text: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.score(_matrix(texts)) if len(texts) else [], dtype=float)
+        for texts in (part for batch in batches for part in parts(batch)):
+            yield pd.Series(model.score(_matrix(texts)), dtype=float)
 
     return score(whole(text))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import parts, whole
 
 WORDS = 5
 PERCENT = 80
@@ -154,7 +154,7 @@ class Sketches:
 def _block_search(sketches: Sketches):
     @F.pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in (part for batch in batches for part in parts(batch)):
             rows = sketches.search(texts.tolist())
             yield pd.Series(
                 [[{"item_id": a, "shared": b, "size": c} for a, b, c in row] for row in rows], dtype=object

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import parts, whole
 
 # Characters of a part that is encoded at once, and ids of one that is decoded at once.
 LEAF = 2048
@@ -122,7 +122,7 @@ class BytePairs:
         @F.pandas_udf(T.BinaryType())
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             codec = _codec(key, shared)
-            for texts in batches:
+            for texts in (part for batch in batches for part in parts(batch)):
                 yield pd.Series([codec.encode(text).tobytes() for text in texts], dtype=object)
 
         return encoded(whole(text))
@@ -147,7 +147,7 @@ class BytePairs:
         @F.pandas_udf("struct<ids:binary,decoded:binary>")
         def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             codec = _codec(key, shared)
-            for texts in batches:
+            for texts in (part for batch in batches for part in parts(batch)):
                 ids = [codec.encode(text) for text in texts]
                 yield pd.DataFrame({"ids": [row.tobytes() for row in ids], "decoded": [codec.decode(row) for row in ids]}, dtype=object)
 
